@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import warc
+from .html_text import op2_html
+from .license_scan import op10_licenses
 from .packing import op4_pack
 from .quality import op5_quality
 from .token_counts import op1_token_counts
+from .url_filter import op8_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_html": op2_html,
     "op4_pack": op4_pack,
     "op5_quality": op5_quality,
+    "op6_warc": warc.op6_warc,
+    "op8_url_filter": op8_url_filter,
+    "op10_licenses": op10_licenses,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_warc": warc.SQL}
