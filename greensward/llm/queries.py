@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import warc
+from . import embedding_dedup, warc
+from .decontaminate import op7_decontaminate
 from .html_text import op2_html
 from .license_scan import op10_licenses
 from .packing import op4_pack
@@ -20,8 +21,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pack": op4_pack,
     "op5_quality": op5_quality,
     "op6_warc": warc.op6_warc,
+    "op7_decontaminate": op7_decontaminate,
     "op8_url_filter": op8_url_filter,
+    "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_licenses": op10_licenses,
 }
 
-SQL: dict[str, str] = {"op6_warc": warc.SQL}
+SQL: dict[str, str] = {"op6_warc": warc.SQL, "op9_embedding_dedup": embedding_dedup.SQL}
