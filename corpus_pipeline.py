@@ -1,22 +1,34 @@
-"""A corpus from raw documents to packed sequences: quality, near duplicates, benchmark leaks, packing."""
+"""A corpus from raw documents to packed sequences: quality, near duplicates, benchmark leaks, packing.
+
+Each stage works on all rows that the one before kept. Null and empty texts are scored by the bias alone, have no
+near duplicates and no benchmark passages, and are packed as an end token; empty tables pass through.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from greensward.llm.common import staged, table
+from greensward.llm.decontaminate import contamination
 from greensward.llm.packing import pack_documents
 from greensward.llm.quality import score_texts, train
-
-DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
+from greensward.llm.set_join import one_of_each_group
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for good text (label 1 as likely as not, or more) stay."""
-    columns = docs.columns
-    weights, bias = train(docs, table(spark, sf_dir, "labels"), held_out=False)
-    return score_texts(docs, weights, bias).where("predicted = 1").select(columns)
+    """Documents that the classifier takes for good text (score of 0.5 or more) stay."""
+    weights, bias = train(docs, table(spark, sf_dir, "labels"))
+    return score_texts(docs, weights, bias).where("predicted = 1").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by 5-word shingles at a similarity of 0.8 the document with the smallest id stays."""
+    return one_of_each_group(docs, size=5, percent=80).select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that don't hold most of a benchmark item stay."""
+    return contamination(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +36,9 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
-STAGES = [("quality", quality), ("packing", packing)]
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing)]
 
-#: No SQL expresses the learned classifier or the tokeniser; tests hold each stage against a brute-force version.
+#: No SQL expresses the learned classifier, the tiling or the tokeniser; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 

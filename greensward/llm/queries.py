@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, warc
+from . import embedding_dedup, set_join, warc
 from .decontaminate import op7_decontaminate
 from .html_text import op2_html
 from .license_scan import op10_licenses
@@ -18,6 +18,7 @@ from .url_filter import op8_url_filter
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_html": op2_html,
+    "op3_jaccard": set_join.op3_jaccard,
     "op4_pack": op4_pack,
     "op5_quality": op5_quality,
     "op6_warc": warc.op6_warc,
@@ -27,4 +28,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
 }
 
-SQL: dict[str, str] = {"op6_warc": warc.SQL, "op9_embedding_dedup": embedding_dedup.SQL}
+SQL: dict[str, str] = {"op3_jaccard": set_join.SQL, "op6_warc": warc.SQL, "op9_embedding_dedup": embedding_dedup.SQL}
