@@ -6,6 +6,7 @@
 3. Lists are cut into blocks by size class and position. A block's leader is its member with the foremost position.
    Each member is compared with one leader, and leaders of neighbouring blocks with each other; components of these
    links are families.
+   Before any comparison pairs are dropped whose parity bits (1024 per set) differ in more places than linked sets can.
 4. A set's answers are then derived from its leader's: pairs within a family are joined already and never made; for two
    sets that know their overlap with the same leader, |x|-based bounds decide most of the rest; only pairs of different families
    in a list, of blocks whose sizes and positions allow the overlap, are compared in full.
@@ -52,6 +53,12 @@ def prefix_length(n: int, percent: int) -> int:
     return n + (-percent * n) // 100 + 1
 
 
+def parity_bits(tokens: np.ndarray, bits: int = 1024) -> np.ndarray:
+    """For each of so many places whether an odd number of tokens falls on it: two sets differ in at least as many tokens as their bits do."""
+    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def as_long(tokens: np.ndarray) -> np.ndarray:
     return tokens.view(np.int64)
 
@@ -70,27 +77,28 @@ def frequent_tokens(docs: DataFrame, text_col: str, size: int, percent: int, mor
 
 
 def indexed_sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, n, sig, prefix) of each row, prefix in the global order."""
+    """(doc_id, n, sig, prefix, bits) of each row, prefix in the global order."""
     late = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = late.value
         for batch in batches:
-            ns, sigs, prefixes = [], [], []
+            ns, sigs, prefixes, bits = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, size)
                 ns.append(len(s))
                 sigs.append(digest(s))
+                bits.append(parity_bits(s))
                 k = prefix_length(len(s), percent) if len(s) else 0
                 if len(last) and len(s):
                     common = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
                     s = np.concatenate((s[~common][:k], s[common][:k]))
                 prefixes.append(as_long(s[:k]))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), lists], ["doc_id", "n", "sig", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), lists, pa.FixedSizeListArray.from_arrays(np.concatenate(bits) if bits else np.zeros(0, np.int64), 16).cast(pa.list_(pa.int64()))], ["doc_id", "n", "sig", "prefix", "bits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(sets, f"doc_id {kind}, n long, sig binary, prefix array<long>")
+    return docs.select(id_col, text_col).mapInArrow(sets, f"doc_id {kind}, n long, sig binary, prefix array<long>, bits array<long>")
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int, classes: DataFrame, ids: DataFrame) -> DataFrame:
@@ -109,6 +117,13 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int, classes: Dat
     return staged(made.groupBy("cid").agg(F.first("tokens").alias("tokens")), "sets")
 
 
+def by_bits(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) whose parity bits don't differ in more places than linked sets of their sizes can differ in tokens."""
+    a, b = (classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}")) for c in ("x", "y"))
+    apart = F.aggregate(F.zip_with("bx", "by", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    return pairs.join(a, "x").join(b, "y").where(apart <= F.expr(f"nx + ny - 2 * ceil({percent} * (nx + ny) / {100 + percent})")).select(*pairs.columns)
+
+
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(x, y, na, nb, common) of the pairs (x, y)."""
 
@@ -132,7 +147,7 @@ def similar_sets(
     """(doc_id, n_shingles, component_id) of each row."""
     frequent = frequent_tokens(docs, text_col, size, percent, frequent_from, most_frequent)
     rows = staged(indexed_sets(docs, id_col, text_col, size, percent, frequent), "indexed")
-    classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     # Index lists: only tokens of two classes or more matter. Block of a set: its size class, a little wider than the ratio of linked sizes.
@@ -153,7 +168,7 @@ def similar_sets(
     )
     a, b = leaders.select("token", "blk", F.col("lead").alias("p")), leaders.select("token", (F.col("blk") - 1).alias("blk"), F.col("lead").alias("q"))
     beside = a.join(b, ["token", "blk"]).where("p.cid <> q.cid").where(fits("p.n", "p.pos", "q.n", "q.pos")).select(F.expr("greatest(p.cid, q.cid)").alias("x"), F.expr("least(p.cid, q.cid)").alias("y"))
-    first = staged(follow.union(beside).distinct(), "pairs")
+    first = staged(by_bits(follow.union(beside).distinct(), classes, percent), "pairs")
     known = sets_of(docs, id_col, text_col, size, classes, first.select(F.col("x").alias("cid")).union(first.select(F.col("y").alias("cid"))).distinct())
     answers = staged(overlaps(first, known), "answers")
     remove(known)
@@ -176,7 +191,7 @@ def similar_sets(
     )
     sure = F.expr(f"coalesce({same_lead} AND x_o + y_o - x_nl >= {need('x_n', 'y_n')}, false)").alias("sure")
     pairs = staged(small.join(large, ["token", "blk"]).where(possible).select(F.col("x_cid").alias("x"), F.col("y_cid").alias("y"), sure).distinct(), "pairs")
-    rest = pairs.where("NOT sure")
+    rest = staged(by_bits(pairs.where("NOT sure"), classes, percent), "rest")
     more = rest.select(F.col("x").alias("cid")).union(rest.select(F.col("y").alias("cid"))).distinct()
     late = sets_of(docs, id_col, text_col, size, classes, more)
     found = staged(overlaps(rest.select("x", "y"), late).where(joinable("na", "nb", "common", percent)).select(F.col("x").alias("src"), F.col("y").alias("dst")), "found")
@@ -189,7 +204,7 @@ def similar_sets(
     of_class = named.join(least, "component").select("sig", "component_id")
     out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(of_class, "sig", "left")
     out = staged(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "components")
-    for used in (rows, classes, shared, leaders, first, answers, members, open_, pairs, found, family, parts, named):
+    for used in (rows, classes, shared, leaders, first, answers, members, open_, pairs, rest, found, family, parts, named):
         remove(used)
     return out
 
