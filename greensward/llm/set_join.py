@@ -6,7 +6,7 @@
 3. Lists are cut into blocks by size class and position. A block's leader is its member with the foremost position.
    Each member is compared with one leader, and leaders of neighbouring blocks with each other; components of these
    links are families.
-   Before any comparison pairs are dropped whose parity bits (1024 per set) differ in more places than linked sets can.
+   Before sets are compared pairs are dropped whose parity bits (512 per set) differ in more places than linked sets can.
 4. A set's answers are then derived from its leader's: pairs within a family are joined already and never made; for two
    sets that know their overlap with the same leader, |x|-based bounds decide most of the rest; only pairs of different families
    in a list, of blocks whose sizes and positions allow the overlap, are compared in full.
@@ -53,7 +53,7 @@ def prefix_length(n: int, percent: int) -> int:
     return n + (-percent * n) // 100 + 1
 
 
-def parity_bits(tokens: np.ndarray, bits: int = 1024) -> np.ndarray:
+def parity_bits(tokens: np.ndarray, bits: int = 512) -> np.ndarray:
     """For each of so many places whether an odd number of tokens falls on it: two sets differ in at least as many tokens as their bits do."""
     odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
@@ -95,7 +95,7 @@ def indexed_sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent
                     s = np.concatenate((s[~common][:k], s[common][:k]))
                 prefixes.append(as_long(s[:k]))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), lists, pa.FixedSizeListArray.from_arrays(np.concatenate(bits) if bits else np.zeros(0, np.int64), 16).cast(pa.list_(pa.int64()))], ["doc_id", "n", "sig", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), lists, pa.FixedSizeListArray.from_arrays(np.concatenate(bits) if bits else np.zeros(0, np.int64), 8).cast(pa.list_(pa.int64()))], ["doc_id", "n", "sig", "prefix", "bits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(sets, f"doc_id {kind}, n long, sig binary, prefix array<long>, bits array<long>")
@@ -120,8 +120,12 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int, classes: Dat
 def by_bits(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) whose parity bits don't differ in more places than linked sets of their sizes can differ in tokens."""
     a, b = (classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}")) for c in ("x", "y"))
-    apart = F.aggregate(F.zip_with("bx", "by", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    return pairs.join(a, "x").join(b, "y").where(apart <= F.expr(f"nx + ny - 2 * ceil({percent} * (nx + ny) / {100 + percent})")).select(*pairs.columns)
+    return pairs.join(a, "x").join(b, "y").where(near_bits("bx", "by", "nx", "ny", percent)).select(*pairs.columns)
+
+
+def near_bits(bx: str, by: str, nx: str, ny: str, percent: int) -> Column:
+    apart = " + ".join(f"bit_count({bx}[{i}] ^ {by}[{i}])" for i in range(8))
+    return F.expr(f"{apart} <= {nx} + {ny} - 2 * ceil({percent} * ({nx} + {ny}) / {100 + percent})")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -180,18 +184,18 @@ def similar_sets(
     members = shared.join(family.withColumnRenamed("node", "cid"), "cid", "left").withColumn("fam", F.coalesce("component", "cid")).drop("component").join(told, "cid", "left")
     members = staged(members, "members")
     mixed = members.groupBy("token").agg(F.min("fam").alias("f"), F.max("fam").alias("g")).where("f <> g").select("token")
-    open_ = staged(members.join(mixed, "token", "left_semi"), "open")
+    open_ = staged(members.join(mixed, "token", "left_semi").join(classes.select("cid", "bits"), "cid"), "open")
     front = open_.where(f"pos <= n - {need('n', 'n')}")  # positions that a set's token can have in a link with one no smaller
-    small = front.select("token", F.explode(F.array("blk", F.col("blk") + 1)).alias("blk"), *[F.col(c).alias(f"x_{c}") for c in ("cid", "n", "pos", "fam", "lead", "o", "nl")])
-    large = open_.select("token", "blk", *[F.col(c).alias(f"y_{c}") for c in ("cid", "n", "pos", "fam", "lead", "o")])
+    small = front.select("token", F.explode(F.array("blk", F.col("blk") + 1)).alias("blk"), *[F.col(c).alias(f"x_{c}") for c in ("cid", "n", "pos", "fam", "lead", "o", "nl", "bits")])
+    large = open_.select("token", "blk", *[F.col(c).alias(f"y_{c}") for c in ("cid", "n", "pos", "fam", "lead", "o", "bits")])
     same_lead = "x_lead <=> y_lead AND x_lead IS NOT NULL"
     possible = (
         f"x_fam <> y_fam AND (x_n < y_n OR (x_n = y_n AND x_cid < y_cid)) AND {fits('x_n', 'x_pos', 'y_n', 'y_pos')}"
         f" AND NOT ({same_lead} AND least(x_o, y_o) + least(x_n - x_o, y_n - y_o) < {need('x_n', 'y_n')})"
     )
     sure = F.expr(f"coalesce({same_lead} AND x_o + y_o - x_nl >= {need('x_n', 'y_n')}, false)").alias("sure")
-    pairs = staged(small.join(large, ["token", "blk"]).where(possible).select(F.col("x_cid").alias("x"), F.col("y_cid").alias("y"), sure).distinct(), "pairs")
-    rest = staged(by_bits(pairs.where("NOT sure"), classes, percent), "rest")
+    pairs = staged(small.join(large, ["token", "blk"]).where(F.expr(possible) & near_bits("x_bits", "y_bits", "x_n", "y_n", percent)).select(F.col("x_cid").alias("x"), F.col("y_cid").alias("y"), sure).distinct(), "pairs")
+    rest = pairs.where("NOT sure")
     more = rest.select(F.col("x").alias("cid")).union(rest.select(F.col("y").alias("cid"))).distinct()
     late = sets_of(docs, id_col, text_col, size, classes, more)
     found = staged(overlaps(rest.select("x", "y"), late).where(joinable("na", "nb", "common", percent)).select(F.col("x").alias("src"), F.col("y").alias("dst")), "found")
@@ -204,7 +208,7 @@ def similar_sets(
     of_class = named.join(least, "component").select("sig", "component_id")
     out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(of_class, "sig", "left")
     out = staged(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "components")
-    for used in (rows, classes, shared, leaders, first, answers, members, open_, pairs, rest, found, family, parts, named):
+    for used in (rows, classes, shared, leaders, first, answers, members, open_, pairs, found, family, parts, named):
         remove(used)
     return out
 
