@@ -11,6 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+class Memo(dict):
+    """What a Python worker remembers between batches: bounded, and only that of the operator at work is kept, since Spark
+    reuses workers for one operator after another."""
+
+    at_work: Memo | None = None
+
+    def __init__(self, most: int = 250_000):
+        super().__init__()
+        self.most = most
+
+    def take_turn(self) -> None:
+        """Before each batch: forget what other operators remembered, and everything if there is too much."""
+        if Memo.at_work is not self:
+            if Memo.at_work is not None:
+                Memo.at_work.clear()
+            Memo.at_work = self
+        if len(self) > self.most:
+            self.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

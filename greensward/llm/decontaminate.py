@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, with_columns_renamed_apart
+from .common import Memo, table, with_columns_renamed_apart
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -31,15 +31,13 @@ BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 class Words:
     """Texts to arrays of 64-bit word hashes, remembering words."""
 
-    def __init__(self, memo: int = 500_000):
-        self.known: dict[bytes, int] = {}
-        self.memo = memo
+    def __init__(self) -> None:
+        self.known = Memo(400_000)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().lower().split()  # bytes: only A-Z, and ASCII white space
-        if len(self.known) > self.memo:
-            self.known.clear()
         known = self.known
+        known.take_turn()
         try:
             return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         except KeyError:
@@ -167,7 +165,7 @@ class Block:
         return found
 
 
-_words = Words()
+words_of = Words()
 
 
 def contamination(
@@ -193,7 +191,7 @@ def contamination(
 
         def judge(batches: Iterator[pa.RecordBatch], shared=shared, first=first) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                best = [shared.value.best(_words(x)) for x in batch.column(t).to_pylist()]
+                best = [shared.value.best(words_of(x)) for x in batch.column(t).to_pylist()]
                 if not first:
                     before = [(c or 0.0, i, n or 0) for c, i, n in zip(*(batch.column(len(names) + k).to_pylist() for k in (1, 2, 3)))]
                     best = [b if n[1] is None or n[0] <= b[0] else n for n, b in zip(best, before)]

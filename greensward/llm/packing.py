@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Memo, table
 from .token_counts import runs
 
 #: The split of the vocabulary word_bpe_49k.json within a chunk without white space.
@@ -41,7 +41,7 @@ class ChunkEncoder:
     are remembered. All other texts, and those that may hold strings of special tokens, go to the library whole.
     """
 
-    def __init__(self, path: str, memo: int = 500_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
@@ -52,8 +52,7 @@ class ChunkEncoder:
         self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.marks = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.split = regex.compile(WORD)
-        self.chunks: dict[str, bytes] = {}
-        self.memo = memo
+        self.chunks = Memo(400_000)
 
     def _plain(self, text: str) -> bool:
         if not text.isascii() and (max(text) >= "\u0250" or "\u0130" in text):
@@ -65,8 +64,7 @@ class ChunkEncoder:
 
     def _learn(self, chunks: list[str]) -> None:
         known = self.chunks
-        if len(known) > self.memo:
-            known.clear()
+        known.take_turn()
         words, compound = [], {}
         for c in chunks:
             if c not in known:
@@ -164,7 +162,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int
         enc = encoder(path)
         for batch in batches:
             rows, n = [], 0
-            for run in runs([t or "" for t in batch.column(1).to_pylist()], 16_000_000):
+            for run in runs([t or "" for t in batch.column(1).to_pylist()], 8_000_000):
                 for ids in enc.encode(run):
                     ids = memoryview(ids + end)
                     rows += [(n, k, s // 4, len(part := ids[s : s + 4 * capacity]) // 4, zlib.crc32(part)) for k, s in enumerate(range(0, len(ids), 4 * capacity))]

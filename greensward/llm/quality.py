@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, with_columns_renamed_apart
+from .common import Memo, table, with_columns_renamed_apart
 from .token_counts import runs
 
 BITS = 18
@@ -47,13 +47,11 @@ def shape(word: str) -> str:
 class Hasher:
     """Texts to hashed n-grams: for each text its places in the weight vector and their values."""
 
-    def __init__(self, memo: int = 400_000):
-        self.memo: dict[str, tuple[int, int]] = {}
-        self.memo_size = memo
+    def __init__(self) -> None:
+        self.memo = Memo()
 
     def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.memo) > self.memo_size:
-            self.memo.clear()
+        self.memo.take_turn()
         for w in set(words):
             if w not in self.memo:
                 self.memo[w] = (xxhash.xxh3_64_intdigest(w.lower().strip(".,;:!?\"'()")), xxhash.xxh3_64_intdigest(shape(w)))
@@ -125,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     got = sample.mapInArrow(hashed, f"id {kind}, y double, at binary, value binary").dropDuplicates(["id"]).toArrow().sort_by("id")
-    rows = [(np.frombuffer(a, "<u4").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for a, v in zip(got["at"].to_pylist(), got["value"].to_pylist())]
+    rows = [(np.frombuffer(a.as_buffer(), "<u4"), np.frombuffer(v.as_buffer(), "<f4")) for a, v in zip(got["at"], got["value"])]  # views: the table is held once
     return ftrl(rows, got["y"].to_numpy())
 
 

@@ -30,15 +30,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, remove, staged, table
-from .decontaminate import Words, windows
+from .decontaminate import windows, words_of
 
-_words = Words()
 MOST_BROADCAST = 1_000_000  # ids of 8 bytes
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
     """The distinct shingle hashes of a text, ascending; short texts are one shingle."""
-    words = _words(text)
+    words = words_of(text)
     h = windows(words, min(size, len(words))) if len(words) else words
     h = h * np.uint64(0xD6E8FEB86659FD93)
     return np.unique(h ^ (h >> np.uint64(32)))

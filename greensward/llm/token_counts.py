@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import Memo, table
 
 WHITE = r"\t-\r \x85\xa0  -     　"
 #: The split of GPT-2 style byte-level vocabularies, with white space as Unicode's White_Space property.
@@ -42,7 +42,7 @@ def byte_letters() -> dict[str, int]:
 class RankMerger:
     """Counts the symbols that byte-pair merging leaves of each byte string."""
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -58,8 +58,7 @@ class RankMerger:
         self.key, self.rank, self.made = key[order], order.astype(np.int64), made[order]
         self.split = regex.compile(SPLIT)
         self.apart = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.memo: dict[str, int] = {}
-        self.memo_size = memo
+        self.memo = Memo()
 
     def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = left * self.width + right
@@ -150,8 +149,7 @@ class RankMerger:
             else:
                 extra.append(0)
                 pieces.append(self.split.findall(text))
-        if len(self.memo) > self.memo_size:
-            self.memo.clear()
+        self.memo.take_turn()
         new = [w for w in set().union(*pieces) if w not in self.memo]
         if new:
             self.memo.update(zip(new, self.count_batch([w.encode() for w in new]).tolist()))
