@@ -51,7 +51,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
     head = [("WARC-Type", "revisit" if revisit else "response")]
     head += [("WARC-Record-ID", f"<urn:page:{page_id}>")] * (page_id is not None)
-    head += [("WARC-Target-URI", quote(url, safe="%:/?#[]@!$&'()*+,;=~-._"))] * (url is not None)
+    if url is not None:
+        head.append(("WARC-Target-URI", quote(url, safe="%:/?#[]@!$&'()*+,;=~-._")))
     head += [("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http; msgtype=response")]
     head += [("WARC-Profile", REVISIT), ("WARC-Refers-To", f"<urn:page:{refers_to}>")] * revisit
     text = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in [*head, ("Content-Length", str(len(block)))]) + "\r\n"
