@@ -2,7 +2,7 @@
 
 Trust is a personalised PageRank from hosts whose pages the allow rules fit; distrust flows against the links, from
 hosts whose pages the block rules fit to the hosts that link to them. A host starts with the share of its pages that
-such rules fit. Edges are links between hosts, counted per pair before anything is joined. A host is blocked where its distrust reaches
+such rules fit, one without pages with the rule of its path /. Edges are links between hosts, counted per pair before anything is joined. A host is blocked where its distrust reaches
 `threshold` and exceeds its trust. DataFrame operations only.
 
 Defined results: a null url, or one without ://, has an empty host and path and no rule; its host "" takes part like
@@ -80,8 +80,11 @@ def judge_urls(
         "hosts",
     )
     edges = staged(host_edges(parts), "edges")
-    trust = spread(edges, hosts.select("host", F.col("allowed").alias("start")), "src", "dst", damping, rounds, settled)
-    distrust = spread(edges, hosts.select("host", F.col("blocked").alias("start")), "dst", "src", damping, rounds, settled)
+    only_linked = edges.select(F.col("dst").alias("host")).distinct().join(hosts, "host", "left_anti").withColumn("v", rule_of(F.col("host"), F.lit("/"), rules)["verdict"])
+    only_linked = only_linked.select("host", F.expr("CAST(v <=> 'allow' AS double)").alias("allowed"), F.expr("CAST(v <=> 'block' AS double)").alias("blocked"))
+    starts = staged(hosts.unionByName(only_linked), "starts")
+    trust = spread(edges, starts.select("host", F.col("allowed").alias("start")), "src", "dst", damping, rounds, settled)
+    distrust = spread(edges, starts.select("host", F.col("blocked").alias("start")), "dst", "src", damping, rounds, settled)
     scores = hosts.select("host").join(trust.withColumnRenamed("value", "trust"), "host", "left").join(distrust.withColumnRenamed("value", "distrust"), "host", "left").na.fill(0.0)
     judged = F.when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
     return (
