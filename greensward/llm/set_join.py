@@ -1,8 +1,8 @@
 """Exact self-join of word-shingle sets by Jaccard similarity, with skipping by set relations, and its components.
 
 1. Equal sets are one class (pre-aggregated by a 128-bit digest of the set), so exact copies cost one row.
-2. Each class puts the first tokens of its set, in one global order, into index lists. Tokens that very many documents hold are
-   found first and stand last in that order, so shared passages stay out of the prefixes.
+2. Each class puts the first tokens of its set, in one global order, into index lists. Tokens that many sets hold stand last
+   in that order, so shared passages stay out of the prefixes.
 3. Lists are cut into blocks by size class and position. A block's leader is its member with the foremost position.
    Each member is compared with one leader, and leaders of neighbouring blocks with each other; components of these
    links are families.
@@ -62,57 +62,78 @@ def as_long(tokens: np.ndarray) -> np.ndarray:
     return tokens.view(np.int64)
 
 
-def frequent_tokens(docs: DataFrame, text_col: str, size: int, percent: int, more_than: int, most: int) -> np.ndarray:
-    """Tokens that stand in the prefixes of more documents than more_than, at most `most` of them, the most frequent first. They only set the order."""
+def indexed_sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """(doc_id, n, sig, head, bits) of each row; head is a little more of the tokens of smallest hash than a prefix needs."""
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(s := shingles(t, size))[: prefix_length(len(s), percent) * 5 // 4 + 1] for t in batch.column(0).to_pylist() if t]
-            yield pa.RecordBatch.from_arrays([pa.array(as_long(np.concatenate(found)) if found else [], pa.int64())], ["token"])
+            made = [shingles(t, size) for t in batch.column(1).to_pylist()]
+            heads = [as_long(s[: prefix_length(len(s), percent) * 5 // 4 + 1] if len(s) else s) for s in made]
+            bits = np.concatenate([parity_bits(s) for s in made]) if made else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in made], pa.int64()), pa.array([digest(s) for s in made], pa.binary()), long_lists(heads), pa.FixedSizeListArray.from_arrays(bits, 8).cast(pa.list_(pa.int64()))],
+                ["doc_id", "n", "sig", "head", "bits"],
+            )
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(id_col, text_col).mapInArrow(sets, f"doc_id {kind}, n long, sig binary, head array<long>, bits array<long>")
+
 
-    counted = docs.select(text_col).mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > more_than)
-    got = counted.orderBy(F.desc("n"), "token").limit(most).select("token").toArrow()["token"].to_numpy()  # at most `most` numbers
-    return np.sort(got.view(np.uint64))
+def long_lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays) if arrays else [], pa.int64()))
 
 
-def indexed_sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, n, sig, prefix, bits) of each row, prefix in the global order."""
+def with_prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, classes: DataFrame, several: DataFrame, frequent_from: int, most_frequent: int) -> DataFrame:
+    """(cid, prefix, again): the first tokens of each class in the global order, frequent tokens last. Where a head holds too few others, again
+    is true and the prefix comes from the text, read once more."""
+    top = several.where(F.col("c") > frequent_from).orderBy(F.desc("c"), "token").limit(most_frequent)  # at most most_frequent numbers, which only set the order
+    frequent = np.sort(top.select("token").toArrow()["token"].to_numpy().view(np.uint64))
     late = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = late.value
+    def first(s: np.ndarray, n: int, whole: bool) -> np.ndarray | None:
+        k, last = prefix_length(n, percent), late.value
+        if len(last):
+            common = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
+            if not whole and len(s) < n and (~common).sum() < k:
+                return None
+            s = np.concatenate((s[~common][:k], s[common][:k]))
+        return as_long(s[:k])
+
+    def of_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ns, sigs, prefixes, bits = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingles(text, size)
-                ns.append(len(s))
-                sigs.append(digest(s))
-                bits.append(parity_bits(s))
-                k = prefix_length(len(s), percent) if len(s) else 0
-                if len(last) and len(s):
-                    common = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
-                    s = np.concatenate((s[~common][:k], s[common][:k]))
-                prefixes.append(as_long(s[:k]))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()), pa.array(np.concatenate(prefixes) if prefixes else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), lists, pa.FixedSizeListArray.from_arrays(np.concatenate(bits) if bits else np.zeros(0, np.int64), 8).cast(pa.list_(pa.int64()))], ["doc_id", "n", "sig", "prefix", "bits"])
+            made = [first(np.array(h, np.int64).view(np.uint64), n, False) for h, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], ["cid", "prefix"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(sets, f"doc_id {kind}, n long, sig binary, prefix array<long>, bits array<long>")
+    def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(c, first(s, len(s), True)) for t, c, sig in zip(*(batch.column(k).to_pylist() for k in range(3))) if digest(s := shingles(t, size)) == sig]
+            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], ["cid", "prefix"])
+
+    heads = staged(classes.select("cid", "head", "n").mapInArrow(of_heads, "cid long, prefix array<long>"), "heads")
+    again = heads.where("prefix IS NULL").select("cid")
+    read = texts_of(docs, id_col, text_col, classes, again).mapInArrow(of_texts, "cid long, prefix array<long>")
+    read = read.groupBy("cid").agg(F.first("prefix").alias("prefix"))
+    out = staged(heads.where("prefix IS NOT NULL").withColumn("again", F.lit(False)).unionByName(read.withColumn("again", F.lit(True))), "prefixes")
+    remove(heads)
+    return out
 
 
-def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int, classes: DataFrame, ids: DataFrame) -> DataFrame:
-    """(cid, tokens): the sets of the classes in ids, made again from their texts."""
+def texts_of(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(text, cid, sig): texts of rows with the classes' smallest ids; a row is of the class only if its set has the digest sig."""
     wanted = classes.join(ids, "cid", "left_semi").where("least IS NOT NULL").select("cid", "sig", F.col("least").alias("doc_id"))
     if ids.count() <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id").select("text", "cid", "sig")
 
+
+def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(cid, tokens): the sets of the classes in ids, made again from their texts."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [(c, s.tobytes()) for t, c, sig in zip(*(batch.column(k).to_pylist() for k in range(3))) if digest(s := shingles(t, size)) == sig]
             yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], ["cid", "tokens"])
 
-    made = rows.select("text", "cid", "sig").mapInArrow(sets, "cid long, tokens binary")
+    made = texts_of(docs, id_col, text_col, classes, ids).mapInArrow(sets, "cid long, tokens binary")
     return staged(made.groupBy("cid").agg(F.first("tokens").alias("tokens")), "sets")
 
 
@@ -148,17 +169,19 @@ def similar_sets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90, frequent_from: int = 30, most_frequent: int = 500_000
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row."""
-    frequent = frequent_tokens(docs, text_col, size, percent, frequent_from, most_frequent)
-    rows = staged(indexed_sets(docs, id_col, text_col, size, percent, frequent), "indexed")
-    classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    rows = staged(indexed_sets(docs, id_col, text_col, size, percent), "indexed")
+    classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("bits").alias("bits"))
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    several = staged(classes.select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "several")
+    prefixes = with_prefixes(docs, id_col, text_col, size, percent, classes, several, frequent_from, most_frequent)
 
     # Index lists: only tokens of two classes or more matter. Block of a set: its size class, a little wider than the ratio of linked sizes.
     width = f"ln(100.0 / {percent} * 1.001)"
     need = lambda nx, ny: f"ceil({percent} * ({nx} + {ny}) / {100 + percent})"  # noqa: E731  least overlap of linked sets
-    postings = classes.where("least IS NOT NULL").select("cid", "n", F.expr(f"CAST(floor(ln(n) / {width}) AS int)").alias("blk"), F.posexplode("prefix").alias("pos", "token"))
-    several = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    shared = staged(postings.join(several, "token", "left_semi"), "postings")
+    ranked = classes.where("least IS NOT NULL").select("cid", "n").join(prefixes, "cid")
+    postings = ranked.select("cid", "n", F.expr(f"CAST(floor(ln(n) / {width}) AS int)").alias("blk"), F.posexplode("prefix").alias("pos", "token"))
+    kept = several.select("token").union(prefixes.where("again").select(F.explode("prefix").alias("token"))).distinct()
+    shared = staged(postings.join(kept, "token", "left_semi"), "postings")
 
     # Leaders, and each member's one.
     leaders = staged(shared.groupBy("token", "blk").agg(F.min(F.struct("pos", "cid", "n")).alias("lead"), F.count("*").alias("c")), "leaders")
@@ -207,7 +230,7 @@ def similar_sets(
     of_class = named.join(least, "component").select("sig", "component_id")
     out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(of_class, "sig", "left")
     out = staged(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "components")
-    for used in (rows, classes, shared, leaders, first, answers, members, open_, pairs, found, family, parts, named):
+    for used in (rows, classes, several, prefixes, shared, leaders, first, answers, members, open_, pairs, found, family, parts, named):
         remove(used)
     return out
 
