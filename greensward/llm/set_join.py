@@ -6,7 +6,7 @@
 3. Lists are cut into blocks by size class and position. A block's leader is its member with the foremost position.
    Each member is compared with one leader, and leaders of neighbouring blocks with each other; components of these
    links are families.
-   Before sets are compared pairs are dropped whose parity bits (512 per set) differ in more places than linked sets can.
+   Before sets are compared pairs are dropped whose parity bits (512 per set, 4096 more for large ones) differ in more places than linked sets can.
 4. A set's answers are then derived from its leader's: pairs within a family are joined already and never made; for two
    sets that know their overlap with the same leader, |x|-based bounds decide most of the rest; only pairs of different families
    in a list, of blocks whose sizes and positions allow the overlap, are compared in full.
@@ -21,7 +21,7 @@ and a class without any id links only with equal sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,7 @@ from .common import connected_components, remove, staged, table
 from .decontaminate import windows, words_of
 
 MOST_BROADCAST = 1_000_000  # ids of 8 bytes
+BIG_FROM = 1200  # tokens; sets of so many have 4096 parity bits besides
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -63,23 +64,24 @@ def as_long(tokens: np.ndarray) -> np.ndarray:
 
 
 def indexed_sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, sig, head, bits) of each row; head is a little more of the tokens of smallest hash than a prefix needs."""
+    """(doc_id, n, sig, head, bits, big) of each row; head is a little more of the tokens of smallest hash than a prefix needs."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shingles(t, size) for t in batch.column(1).to_pylist()]
-            heads = [as_long(s[: prefix_length(len(s), percent) * 5 // 4 + 1] if len(s) else s) for s in made]
-            bits = np.concatenate([parity_bits(s) for s in made]) if made else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in made], pa.int64()), pa.array([digest(s) for s in made], pa.binary()), long_lists(heads), pa.FixedSizeListArray.from_arrays(bits, 8).cast(pa.list_(pa.int64()))],
-                ["doc_id", "n", "sig", "head", "bits"],
-            )
+            made = [described(shingles(t, size)) for t in batch.column(1).to_pylist()]
+            n, sig, heads, bits, big = zip(*made) if made else ((),) * 5
+            arrays = [pa.array(n, pa.int64()), pa.array(sig, pa.binary()), long_lists(heads), long_lists(bits), pa.array(big, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n", "sig", "head", "bits", "big"])
+
+    def described(s: np.ndarray) -> tuple:
+        head = as_long(s[: prefix_length(len(s), percent) * 5 // 4 + 1].copy() if len(s) else s)
+        return len(s), digest(s), head, parity_bits(s), parity_bits(s, 4096) if len(s) >= BIG_FROM else None
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(sets, f"doc_id {kind}, n long, sig binary, head array<long>, bits array<long>")
+    return docs.select(id_col, text_col).mapInArrow(sets, f"doc_id {kind}, n long, sig binary, head array<long>, bits array<long>, big array<long>")
 
 
-def long_lists(arrays: list[np.ndarray]) -> pa.ListArray:
+def long_lists(arrays: Sequence[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays) if arrays else [], pa.int64()))
 
 
@@ -127,20 +129,28 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, id
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int, classes: DataFrame, ids: DataFrame) -> DataFrame:
-    """(cid, tokens): the sets of the classes in ids, made again from their texts."""
+    """(cid, tokens): the sets of the classes in ids, made again from their texts. Rows that repeat an id and text give a set once a partition;
+    the answers of such copies are equal."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
-            made = [(c, s.tobytes()) for t, c, sig in zip(*(batch.column(k).to_pylist() for k in range(3))) if digest(s := shingles(t, size)) == sig]
+            made = []
+            for text, cid, sig in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if cid not in done and digest(s := shingles(text, size)) == sig:
+                    done.add(cid)
+                    made.append((cid, s.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], ["cid", "tokens"])
 
     made = texts_of(docs, id_col, text_col, classes, ids).mapInArrow(sets, "cid long, tokens binary")
-    return staged(made.groupBy("cid").agg(F.first("tokens").alias("tokens")), "sets")
+    return staged(made, "sets")
 
 
 def by_bits(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (x, y) whose parity bits don't differ in more places than linked sets of their sizes can differ in tokens."""
-    a, b = (classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}")) for c in ("x", "y"))
-    return pairs.join(a, "x").join(b, "y").where(near_bits("bx", "by", "nx", "ny", percent)).select(*pairs.columns)
+    a, b = (classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"b{c}"), F.col("big").alias(f"big{c}")) for c in ("x", "y"))
+    apart = "aggregate(zip_with(bigx, bigy, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
+    near_big = F.expr(f"bigx IS NULL OR bigy IS NULL OR {apart} <= nx + ny - 2 * ceil({percent} * (nx + ny) / {100 + percent})")
+    return pairs.join(a, "x").join(b, "y").where(near_bits("bx", "by", "nx", "ny", percent) & near_big).select(*pairs.columns)
 
 
 def near_bits(bx: str, by: str, nx: str, ny: str, percent: int) -> Column:
@@ -170,7 +180,7 @@ def similar_sets(
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row."""
     rows = staged(indexed_sets(docs, id_col, text_col, size, percent), "indexed")
-    classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("bits").alias("bits"))
+    classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("bits").alias("bits"), F.first("big").alias("big"))
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     several = staged(classes.select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "several")
     prefixes = with_prefixes(docs, id_col, text_col, size, percent, classes, several, frequent_from, most_frequent)
@@ -217,7 +227,7 @@ def similar_sets(
     )
     sure = F.expr(f"coalesce({same_lead} AND x_o + y_o - x_nl >= {need('x_n', 'y_n')}, false)").alias("sure")
     pairs = staged(small.join(large, ["token", "blk"]).where(F.expr(possible) & near_bits("x_bits", "y_bits", "x_n", "y_n", percent)).select(F.col("x_cid").alias("x"), F.col("y_cid").alias("y"), sure).distinct(), "pairs")
-    rest = pairs.where("NOT sure")
+    rest = staged(by_bits(pairs.where("NOT sure"), classes, percent), "rest")
     more = rest.select(F.col("x").alias("cid")).union(rest.select(F.col("y").alias("cid"))).distinct()
     late = sets_of(docs, id_col, text_col, size, classes, more)
     found = staged(overlaps(rest.select("x", "y"), late).where(joinable("na", "nb", "common", percent)).select(F.col("x").alias("src"), F.col("y").alias("dst")), "found")
@@ -230,7 +240,7 @@ def similar_sets(
     of_class = named.join(least, "component").select("sig", "component_id")
     out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(of_class, "sig", "left")
     out = staged(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "components")
-    for used in (rows, classes, several, prefixes, shared, leaders, first, answers, members, open_, pairs, found, family, parts, named):
+    for used in (rows, classes, several, prefixes, shared, leaders, first, answers, members, open_, pairs, rest, found, family, parts, named):
         remove(used)
     return out
 
