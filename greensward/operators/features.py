@@ -80,21 +80,24 @@ def shifted(features: DataFrame, dx: float, dz: float, pts: str = "pts") -> Data
 
 
 def clipped_rings(polygons: DataFrame, bounds: tuple[float, float, float, float], ring: str = "ring") -> DataFrame:
-    """Rings clipped to a box, one half-plane after the other (Sutherland-Hodgman); those left with fewer than three points go."""
+    """Rings clipped to a box, one half-plane after the other (Sutherland-Hodgman); those left with fewer than three points go.
+
+    The half-planes are folded as data, since each step refers to the ring before it many times."""
     x0, z0, x1, z1 = bounds
-    col = F.col(ring)
-    for axis, limit, keep_low in (("x", x0, False), ("x", x1, True), ("z", z0, False), ("z", z1, True)):
-        col = _half_plane(col, axis, limit, keep_low)
-    return polygons.withColumn(ring, col).where(F.size(ring) >= 3)
+    planes = F.array(*[F.struct(F.lit(by_x).alias("by_x"), F.lit(float(v)).alias("limit"), F.lit(low).alias("low")) for by_x, v, low in ((True, x0, False), (True, x1, True), (False, z0, False), (False, z1, True))])
+    return polygons.withColumn(ring, F.aggregate(planes, F.col(ring), _half_plane)).where(F.size(ring) >= 3)
+
 
+def _half_plane(ring: Column, plane: Column) -> Column:
+    def along(p: Column) -> Column:
+        return F.when(plane["by_x"], p["x"]).otherwise(p["z"])
 
-def _half_plane(ring: Column, axis: str, limit: float, keep_low: bool) -> Column:
     def ok(p: Column) -> Column:
-        return p[axis] <= limit if keep_low else p[axis] >= limit
+        return F.when(plane["low"], along(p) <= plane["limit"]).otherwise(along(p) >= plane["limit"])
 
     def cut(p: Column, i: Column) -> Column:
         q = F.get(ring, (i + F.size(ring) - 1) % F.size(ring))
-        t = (limit - q[axis]) / F.nullif(p[axis] - q[axis], F.lit(0.0))
+        t = (plane["limit"] - along(q)) / F.nullif(along(p) - along(q), F.lit(0.0))
         met = F.struct((q["x"] + (p["x"] - q["x"]) * t).alias("x"), (q["z"] + (p["z"] - q["z"]) * t).alias("z"))
         none = F.slice(F.array(p), 1, 0)
         return F.concat(F.when(ok(p) != ok(q), F.array(met)).otherwise(none), F.when(ok(p), F.array(p)).otherwise(none))
