@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from urllib.parse import unquote
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,20 @@ class Memo(dict):
             self.clear()
 
 
+def text_runs(column: pa.Array, size: int = 2_000_000) -> Iterator[list[str]]:
+    """The texts of a column in order, nulls as empty, in runs of about so many bytes; a longer text is a run of its own. A batch is never held
+    as Python strings all at once."""
+    length = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    start = run = 0
+    for i, n in enumerate(length.tolist()):
+        if i > start and run + n > size:
+            yield [t or "" for t in column.slice(start, i - start).to_pylist()]
+            start, run = i, 0
+        run += n
+    if start < len(length):
+        yield [t or "" for t in column.slice(start).to_pylist()]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

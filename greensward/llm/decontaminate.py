@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, table, with_columns_renamed_apart
+from .common import Memo, table, text_runs, with_columns_renamed_apart
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -191,7 +191,7 @@ def contamination(
 
         def judge(batches: Iterator[pa.RecordBatch], shared=shared, first=first) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                best = [shared.value.best(words_of(x)) for x in batch.column(t).to_pylist()]
+                best = [shared.value.best(words_of(x)) for run in text_runs(batch.column(t)) for x in run]
                 if not first:
                     before = [(c or 0.0, i, n or 0) for c, i, n in zip(*(batch.column(len(names) + k).to_pylist() for k in (1, 2, 3)))]
                     best = [b if n[1] is None or n[0] <= b[0] else n for n, b in zip(best, before)]

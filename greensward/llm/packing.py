@@ -26,8 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, table
-from .token_counts import runs
+from .common import Memo, table, text_runs
 
 #: The split of the vocabulary word_bpe_49k.json within a chunk without white space.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -162,7 +161,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, capacity: int
         enc = encoder(path)
         for batch in batches:
             rows, n = [], 0
-            for run in runs([t or "" for t in batch.column(1).to_pylist()], 8_000_000):
+            for run in text_runs(batch.column(1), 8_000_000):
                 for ids in enc.encode(run):
                     ids = memoryview(ids + end)
                     rows += [(n, k, s // 4, len(part := ids[s : s + 4 * capacity]) // 4, zlib.crc32(part)) for k, s in enumerate(range(0, len(ids), 4 * capacity))]

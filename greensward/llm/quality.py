@@ -24,8 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, table, with_columns_renamed_apart
-from .token_counts import runs
+from .common import Memo, table, text_runs, with_columns_renamed_apart
 
 BITS = 18
 KINDS = 5
@@ -118,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [merged(*_hasher.features(t or "")) for t in batch.column(1).to_pylist()]
+            rows = [merged(*_hasher.features(t)) for run in text_runs(batch.column(1)) for t in run]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a.astype("<u4").tobytes() for a, _ in rows], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in rows], pa.binary())], ["id", "y", "at", "value"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -138,7 +137,7 @@ def score_texts(docs: DataFrame, weights: np.ndarray, bias: float, text_col: str
         w = np.zeros(1 << BITS)
         w[sparse.value[0]] = sparse.value[1]
         for batch in batches:
-            s = np.array([bias + w[at] @ value for run in runs([t or "" for t in batch.column(t).to_pylist()]) for at, value in map(_hasher.features, run)], float)
+            s = np.array([bias + w[at] @ value for run in text_runs(batch.column(t)) for at, value in map(_hasher.features, run)], float)
             p = 1 / (1 + np.exp(-np.clip(s, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, remove, staged, table
+from .common import connected_components, remove, staged, table, text_runs
 from .decontaminate import windows, words_of
 
 MOST_BROADCAST = 1_000_000  # ids of 8 bytes
@@ -68,7 +68,7 @@ def indexed_sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [described(shingles(t, size)) for t in batch.column(1).to_pylist()]
+            made = [described(shingles(t, size)) for run in text_runs(batch.column(1)) for t in run]
             n, sig, heads, bits, big = zip(*made) if made else ((),) * 5
             arrays = [pa.array(n, pa.int64()), pa.array(sig, pa.binary()), long_lists(heads), long_lists(bits), pa.array(big, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n", "sig", "head", "bits", "big"])

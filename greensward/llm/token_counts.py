@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Memo, table
+from .common import Memo, table, text_runs
 
 WHITE = r"\t-\r \x85\xa0  -     　"
 #: The split of GPT-2 style byte-level vocabularies, with white space as Unicode's White_Space property.
@@ -166,20 +166,6 @@ def merger(path: str) -> RankMerger:
     return _mergers[path]
 
 
-def runs(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
-    """Cut a list of texts into runs of about so many characters; a longer text is a run of its own."""
-    run: list[str] = []
-    size = 0
-    for text in texts:
-        if run and size + len(text) > chars:
-            yield run
-            run, size = [], 0
-        run.append(text)
-        size += len(text)
-    if run:
-        yield run
-
-
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, limit: int = 1024) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of docs; other columns are not read."""
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.json")
@@ -188,7 +174,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         m = merger(path)
         for batch in batches:
             texts = pc.fill_null(batch.column(1).cast(pa.string()), "")
-            n = [x for run in runs(texts.to_pylist()) for x in m.count_texts(run)]
+            n = [x for run in text_runs(texts) for x in m.count_texts(run)]
             tokens = pa.array(n, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pc.binary_length(texts).cast(pa.int64()), tokens, pc.greater(tokens, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
