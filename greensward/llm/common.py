@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -19,7 +20,7 @@ class Memo(dict):
 
     at_work: Memo | None = None
 
-    def __init__(self, most: int = 250_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
@@ -72,6 +73,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps now; it waits for the driver to collect garbage otherwise."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(df: DataFrame) -> None:
     """Delete the files of a staged table."""
     spark = df.sparkSession

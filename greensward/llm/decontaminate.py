@@ -32,7 +32,7 @@ class Words:
     """Texts to arrays of 64-bit word hashes, remembering words."""
 
     def __init__(self) -> None:
-        self.known = Memo(400_000)
+        self.known = Memo(250_000)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().lower().split()  # bytes: only A-Z, and ASCII white space

@@ -51,7 +51,7 @@ class ChunkEncoder:
         self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.marks = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.split = regex.compile(WORD)
-        self.chunks = Memo(400_000)
+        self.chunks = Memo(250_000)
 
     def _plain(self, text: str) -> bool:
         if not text.isascii() and (max(text) >= "\u0250" or "\u0130" in text):

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, remove, staged, table, text_runs
+from .common import connected_components, release, remove, staged, table, text_runs
 from .decontaminate import windows, words_of
 
 MOST_BROADCAST = 1_000_000  # ids of 8 bytes
@@ -163,9 +163,12 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = ([np.frombuffer(t, np.uint64) for t in batch.column(k).to_pylist()] for k in (2, 3))
-            both = [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in (list(map(len, a)), list(map(len, b)), both))], ["x", "y", "na", "nb", "common"])
+            made = [compared(p, q) for p, q in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([m[k] for m in made], pa.int64()) for k in range(3))], ["x", "y", "na", "nb", "common"])
+
+    def compared(p: pa.Scalar, q: pa.Scalar) -> tuple[int, int, int]:
+        a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (p, q))  # views of the batch
+        return len(a), len(b), len(np.intersect1d(a, b, assume_unique=True))
 
     joined = pairs.join(sets.select(F.col("cid").alias("x"), F.col("tokens").alias("a")), "x").join(sets.select(F.col("cid").alias("y"), F.col("tokens").alias("b")), "y")
     return joined.select("x", "y", "a", "b").mapInArrow(common, "x long, y long, na long, nb long, common long")
@@ -192,6 +195,7 @@ def similar_sets(
     postings = ranked.select("cid", "n", F.expr(f"CAST(floor(ln(n) / {width}) AS int)").alias("blk"), F.posexplode("prefix").alias("pos", "token"))
     kept = several.select("token").union(prefixes.where("again").select(F.explode("prefix").alias("token"))).distinct()
     shared = staged(postings.join(kept, "token", "left_semi"), "postings")
+    release(docs.sparkSession)
 
     # Leaders, and each member's one.
     leaders = staged(shared.groupBy("token", "blk").agg(F.min(F.struct("pos", "cid", "n")).alias("lead"), F.count("*").alias("c")), "leaders")
@@ -208,6 +212,7 @@ def similar_sets(
     known = sets_of(docs, id_col, text_col, size, classes, first.select(F.col("x").alias("cid")).union(first.select(F.col("y").alias("cid"))).distinct())
     answers = staged(overlaps(first, known), "answers")
     remove(known)
+    release(docs.sparkSession)
     links = answers.where(joinable("na", "nb", "common", percent)).select(F.col("x").alias("src"), F.col("y").alias("dst"))
     family = connected_components(links)
 
@@ -229,9 +234,11 @@ def similar_sets(
     pairs = staged(small.join(large, ["token", "blk"]).where(F.expr(possible) & near_bits("x_bits", "y_bits", "x_n", "y_n", percent)).select(F.col("x_cid").alias("x"), F.col("y_cid").alias("y"), sure).distinct(), "pairs")
     rest = staged(by_bits(pairs.where("NOT sure"), classes, percent), "rest")
     more = rest.select(F.col("x").alias("cid")).union(rest.select(F.col("y").alias("cid"))).distinct()
+    release(docs.sparkSession)
     late = sets_of(docs, id_col, text_col, size, classes, more)
     found = staged(overlaps(rest.select("x", "y"), late).where(joinable("na", "nb", "common", percent)).select(F.col("x").alias("src"), F.col("y").alias("dst")), "found")
     remove(late)
+    release(docs.sparkSession)
     edges = family.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst")).union(found).union(pairs.where("sure").select("x", "y"))
     parts = connected_components(edges)
 
