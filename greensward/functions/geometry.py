@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once: as a lambda's variable it isn't copied to each place where it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def before(pts: Column, i: Column) -> Column:
     """The point before place i, around the end."""
     return F.get(pts, (i + F.size(pts) - 1) % F.size(pts))
@@ -36,9 +42,12 @@ def without_near_points(pts: Column, closed: Column, epsilon: float = 0.5) -> Co
     have fewer than two points stays as it was."""
     empty = F.slice(pts, 1, 0)
     kept = F.aggregate(pts, empty, lambda acc, p: F.when((F.size(acc) == 0) | (distance(F.element_at(acc, -1), p) > epsilon), F.concat(acc, F.array(p))).otherwise(acc))
-    meets = closed & (F.size(kept) > 2) & (distance(F.get(kept, F.lit(0)), F.element_at(kept, -1)) <= epsilon)
-    cut = F.when(meets, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
-    return F.when((F.size(pts) < 2) | (F.size(cut) < 2), pts).otherwise(cut)
+
+    def cut(k: Column) -> Column:
+        meets = closed & (F.size(k) > 2) & (distance(F.get(k, F.lit(0)), F.element_at(k, -1)) <= epsilon)
+        return F.when(meets, F.slice(k, 1, F.size(k) - 1)).otherwise(k)
+
+    return let(let(kept, cut), lambda c: F.when((F.size(pts) < 2) | (F.size(c) < 2), pts).otherwise(c))
 
 
 def shrunk(pts: Column, by: Column, clockwise: Column) -> Column:

@@ -157,10 +157,13 @@ def splines(features: DataFrame, offset: float = 1000.0) -> DataFrame:
     """(osm_id, surface, second, second_width, width, points): closed splines of area features (osm_id, kind, pts); unknown kinds have none."""
     spark = features.sparkSession
     params = spark.createDataFrame([(k, *v) for k, v in SPLINES.items()], "kind string, surface string, width double, handle double, tight boolean, second string, second_width double")
-    moved = features.join(F.broadcast(params), "kind").withColumn("pts", F.transform("pts", lambda p: F.struct((p["x"] - offset).alias("x"), (p["z"] - offset).alias("z"))))
-    clean = moved.withColumn("pts", G.without_near_points(F.col("pts"), F.lit(True))).withColumn("cw", G.is_clockwise(F.col("pts")))
-    inner = clean.withColumn("pts", G.shrunk(F.col("pts"), F.col("width") / 2, F.col("cw")))
-    return inner.select("osm_id", "kind", "surface", "second", "second_width", "width", G.waypoints(F.col("pts"), F.col("handle"), F.col("cw"), F.col("tight")).alias("points"))
+    moved = F.transform("pts", lambda p: F.struct((p["x"] - offset).alias("x"), (p["z"] - offset).alias("z")))
+
+    def drawn(pts: Column) -> Column:
+        return G.let(G.is_clockwise(pts), lambda cw: G.let(G.shrunk(pts, F.col("width") / 2, cw), lambda inner: G.waypoints(inner, F.col("handle"), cw, F.col("tight"))))
+
+    points = G.let(G.let(moved, lambda p: G.without_near_points(p, F.lit(True))), drawn)
+    return features.join(F.broadcast(params), "kind").select("osm_id", "kind", "surface", "second", "second_width", "width", points.alias("points"))
 
 
 def water_levels(waters: DataFrame, sites: DataFrame, percentile: float = 0.9) -> DataFrame:

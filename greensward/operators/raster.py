@@ -40,11 +40,13 @@ def local_variation(raster: DataFrame, grid: Grid, k: int) -> DataFrame:
     return out.select("row", "col", F.sqrt(F.greatest(F.col("q") - F.col("s") * F.col("s"), F.lit(0.0))).alias("v"))
 
 
-def box_threshold(raster: DataFrame, k: int) -> DataFrame:
-    """(row, col, h, above): whether a cell is over the mean of the square of 2 k + 1 cells about it, as far as that has data."""
-    w1, w2 = W.partitionBy("row").orderBy("col").rangeBetween(-k, k), W.partitionBy("col").orderBy("row").rangeBetween(-k, k)
-    rows = raster.select("row", "col", "h", F.sum("h").over(w1).alias("s"), F.count("h").over(w1).alias("n"))
-    return rows.select("row", "col", "h", (F.col("h") - F.sum("s").over(w2) / F.sum("n").over(w2) > 1e-9).alias("above"))
+def box_threshold(raster: DataFrame, grid: Grid, k: int) -> DataFrame:
+    """(row, col, h, above): whether a cell is over the mean of the cells with data in the square of 2 k + 1 about it; rows first, then
+    columns, over the dense grid, since a cell without data still passes on its row's sums."""
+    w1, w2 = W.partitionBy("row").orderBy("col").rowsBetween(-k, k), W.partitionBy("col").orderBy("row").rowsBetween(-k, k)
+    dense = grid.cells(raster.sparkSession).join(raster.select("row", "col", "h"), ["row", "col"], "left")
+    rows = dense.select("row", "col", "h", F.sum("h").over(w1).alias("s"), F.count("h").over(w1).alias("n"))
+    return rows.select("row", "col", "h", (F.col("h") - F.sum("s").over(w2) / F.sum("n").over(w2) > 1e-9).alias("above")).where("h IS NOT NULL")
 
 
 def closed_once(mask: DataFrame) -> DataFrame:

@@ -239,7 +239,7 @@ def jacobi_step(spark, d):
 
 @query("box_threshold", f"WITH {GROUND} SELECT a.row, a.col, any_value(a.h) - avg(b.h) > 1e-9 AS above FROM ground a JOIN ground b ON abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 GROUP BY 1, 2")
 def box_threshold(spark, d):
-    return RA.box_threshold(ground(spark, d), 2).select("row", "col", "above")
+    return RA.box_threshold(ground(spark, d), GRID, 2).select("row", "col", "above")
 
 
 @query("binary_closing", f"WITH {GROUND}, m AS (SELECT (i // 100)::INT AS row, (i % 100)::INT AS col, g.h IS NOT NULL AND g.h > 270 AS on_ FROM range(10000) t(i) LEFT JOIN ground g ON g.row = i // 100 AND g.col = i % 100), g2 AS (SELECT a.row, a.col, bool_or(b.on_) AS on_ FROM m a JOIN m b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY 1, 2) SELECT a.row, a.col, bool_and(b.on_) AS is_on FROM g2 a JOIN g2 b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY 1, 2")
