@@ -398,3 +398,61 @@ def pack_circles(ring: np.ndarray, radius: float, ratio: float, seed: int, failu
             else:
                 missed += 1
     return out
+
+
+def scatter(h: np.ndarray, cell: float, radius: float, jitter: float = 0.5, share: float = 1.0, failures: int = 300, brushes: int = 4, spread: float = 1.0, least: int = 3, seed: int = 1) -> list[tuple[float, float, float, float, int]]:
+    """(x, z, radius, value, rank of the brush) of stamps thrown at random sites with data, whose claims, share times the radius, don't
+    overlap. The value is the mean of at least so many cells in the claim; the placed radius grows by spread with the rank. Ends
+    after so many misses in a row."""
+    rng, out, discs = np.random.default_rng(seed), [], Discs(max(cell, radius * share))
+    rows, cols = h.shape
+    missed = 0
+    while missed < failures:
+        x, z = rng.uniform(0, cols * cell), rng.uniform(0, rows * cell)
+        r = radius * rng.uniform(jitter, 1.0)
+        rank = int(rng.integers(brushes))
+        claim = r * share
+        missed += 1
+        if np.isnan(h[min(int(z / cell), rows - 1), min(int(x / cell), cols - 1)]) or not discs.free(x, z, claim):
+            continue
+        k = int(claim / cell) + 1
+        r0, c0 = int(z / cell), int(x / cell)
+        rr, cc = np.arange(max(0, r0 - k), min(rows, r0 + k + 1)), np.arange(max(0, c0 - k), min(cols, c0 + k + 1))
+        near = ((cc + 0.5) * cell - x)[None, :] ** 2 + ((rr + 0.5) * cell - z)[:, None] ** 2 <= claim * claim
+        values = h[rr[0] : rr[-1] + 1, cc[0] : cc[-1] + 1][near]
+        values = values[~np.isnan(values)]
+        if len(values) < least:
+            continue
+        discs.add(x, z, claim)
+        out.append((float(x), float(z), float(r * spread**rank), float(values.mean()), rank))
+        missed = 0
+    return out
+
+
+def refine(actual: np.ndarray, predicted: np.ndarray, cell: float, smallest: float, largest: float, tolerance: float = 2.0, share: float = 1.0, least_cells: float = 1.0, least_points: int = 3, most: int | None = None) -> list[tuple[int, int, float, float, float]]:
+    """(row, col, radius, peak error, mean of actual) of places where predicted is off by more than tolerance over the widest area:
+    of the areas that are too high and too low the one whose deepest cell is deeper (too high at a tie) is taken, then its cells within the claim
+    are done. Shallow peaks only claim their own cell."""
+    error = predicted - actual
+    claimed, out = np.isnan(error), []
+    error = np.where(claimed, 0.0, error)
+    while most is None or len(out) < most:
+        sides = [(error > tolerance) & ~claimed, (error < -tolerance) & ~claimed]
+        depth = [np.where(m, distance_transform(np.pad(m, 1), (cell, cell))[1:-1, 1:-1], 0.0) for m in sides]
+        side = 0 if depth[0].max() >= depth[1].max() else 1
+        r, c = np.unravel_index(int(np.argmax(depth[side])), error.shape)
+        peak = float(depth[side][r, c])
+        if peak <= 0:
+            return out
+        claimed[r, c] = True
+        if peak < least_cells * cell:
+            continue
+        radius = min(max(peak, smallest), largest)
+        rr, cc = np.ogrid[: error.shape[0], : error.shape[1]]
+        apart = ((rr - r) ** 2 + (cc - c) ** 2) * cell * cell
+        inside = (apart <= radius * radius) & ~np.isnan(actual)
+        if inside.sum() < least_points:
+            continue
+        out.append((int(r), int(c), float(radius), float(error[r, c]), float(actual[inside].mean())))
+        claimed |= (apart <= (share * radius) ** 2) & sides[side]
+    return out

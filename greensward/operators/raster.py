@@ -181,3 +181,27 @@ def packed_circles(polygons: DataFrame, radius: float, ratio: float = 1.0, seed:
             yield pd.DataFrame(rows, columns=[key, "idx", "x", "z", "radius"])
 
     return polygons.select(key, "ring").mapInPandas(run, f"{key} {kind}, idx int, x double, z double, radius double")
+
+
+def scattered(raster: DataFrame, grid: Grid, radius: float, key: str = "raster", seed: int = 1, **more: float) -> DataFrame:
+    """(key, idx, x, z, radius, value, rank) of stamps thrown over each raster; the same for the same seed."""
+
+    def run(h: np.ndarray) -> pd.DataFrame:
+        rows = [(i, grid.min_x + x, grid.min_z + z, r, v, k) for i, (x, z, r, v, k) in enumerate(K.scatter(h, grid.cell_x, radius, seed=seed, **more))]
+        return pd.DataFrame(rows, columns=["idx", "x", "z", "radius", "value", "rank"])
+
+    return per_raster(raster, key, grid, run, "idx int, x double, z double, radius double, value double, rank int")
+
+
+def hotspots(actual: DataFrame, predicted: DataFrame, grid: Grid, smallest: float, largest: float, key: str = "raster", **more: float) -> DataFrame:
+    """(key, idx, x, z, radius, error, target) of the places of each raster where predicted is off the most widely, in order."""
+    both = actual.select(key, "row", "col", F.col("h").alias("a")).join(predicted.select(key, "row", "col", F.col("h").alias("p")), [key, "row", "col"])
+    kind = actual.schema[key].dataType.simpleString()
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        a, p = np.full((2, grid.rows, grid.cols), np.nan)
+        a[frame["row"], frame["col"]], p[frame["row"], frame["col"]] = frame["a"].to_numpy(float), frame["p"].to_numpy(float)
+        rows = [(frame[key].iloc[0], i, grid.min_x + (c + 0.5) * grid.cell_x, grid.min_z + (r + 0.5) * grid.cell_z, q, e, t) for i, (r, c, q, e, t) in enumerate(K.refine(a, p, grid.cell_x, smallest, largest, **more))]
+        return pd.DataFrame(rows, columns=[key, "idx", "x", "z", "radius", "error", "target"])
+
+    return both.groupBy(key).applyInPandas(run, f"{key} {kind}, idx int, x double, z double, radius double, error double, target double")

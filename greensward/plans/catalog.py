@@ -572,6 +572,19 @@ def contour_poisson(spark, d):
     return RA.contour_stamps(GR.with_bands(GR.downsample(ground(spark, d), GRID, BLOCK), 10.0), GR.Grid(rows=40, cols=40))
 
 
+@query("scatter_refine")
+def scatter_refine(spark, d):
+    return RA.scattered(tiles(spark, d), GR.Grid(rows=40, cols=40, max_x=800.0, max_z=800.0), 60.0)
+
+
+@query("adaptive_refine")
+def adaptive_refine(spark, d):
+    t = tiles(spark, d)
+    flat = t.groupBy("raster").agg(F.avg("h").alias("h"))
+    predicted = t.drop("h").join(F.broadcast(flat), "raster")  # a row per raster
+    return RA.hotspots(t, predicted, GR.Grid(rows=40, cols=40, max_x=800.0, max_z=800.0), 20.0, 60.0, tolerance=10.0)
+
+
 @query("rect_fill")
 def rect_fill(spark, d):
     return RA.rectangles(tiles(spark, d), BLOCK)

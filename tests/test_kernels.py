@@ -119,3 +119,21 @@ def test_detected_trees_are_where_crowns_are():
     found = K.detect_trees(ground, canopy, 1.0)
     assert sorted((round(r), round(c)) for r, c, _, _ in found) == [(12, 12), (12, 34), (34, 20)]
     assert K.detect_trees(ground, ground, 1.0) == []
+
+
+def test_scattered_claims_never_overlap(rng):
+    h = rng.random((40, 40))
+    h[:10] = np.nan
+    got = K.scatter(h, 10.0, 30.0, share=0.8, seed=4)
+    assert got and got == K.scatter(h, 10.0, 30.0, share=0.8, seed=4)
+    for i, (x, z, r, v, _) in enumerate(got):
+        assert z >= 100 and 15 <= r <= 30 and 0 <= v <= 1
+        assert all(np.hypot(x - a, z - b) >= 0.8 * (r + q) - 1e-9 for a, b, q, _, _ in got[:i])
+
+
+def test_refine_finds_the_widest_error_first():
+    actual, predicted = np.zeros((30, 30)), np.zeros((30, 30))
+    predicted[5:10, 5:10], predicted[15:26, 15:26] = 5.0, -5.0
+    got = K.refine(actual, predicted, 1.0, 1.0, 6.0)
+    assert got[0][:2] == (20, 20) and got[0][3] == -5.0 and any(g[:2] == (7, 7) for g in got)
+    assert K.refine(actual, actual, 1.0, 1.0, 6.0) == [] and len(K.refine(actual, predicted, 1.0, 1.0, 6.0, most=1)) == 1
