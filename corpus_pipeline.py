@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from greensward.llm.common import staged, table
+from greensward.llm.common import small_batches, staged, table
 from greensward.llm.decontaminate import contamination
 from greensward.llm.packing import pack_documents
 from greensward.llm.quality import score_texts, train
@@ -17,22 +17,26 @@ from greensward.llm.set_join import one_of_each_group
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good text (score of 0.5 or more) stay."""
+    small_batches(spark)
     weights, bias = train(docs, table(spark, sf_dir, "labels"))
     return score_texts(docs, weights, bias).where("predicted = 1").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by 5-word shingles at a similarity of 0.8 the document with the smallest id stays."""
+    small_batches(spark)
     return one_of_each_group(docs, size=5, percent=80).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that don't hold most of a benchmark item stay."""
+    small_batches(spark)
     return contamination(docs, table(spark, sf_dir, "benchmark")).where("NOT contaminated").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents that are left, cut and placed in sequences."""
+    small_batches(spark)
     return pack_documents(docs)
 
 

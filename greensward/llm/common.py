@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -29,11 +31,26 @@ class Memo(dict):
         if Memo.at_work is not self:
             if Memo.at_work is not None:
                 Memo.at_work.clear()
+                give_back()
             Memo.at_work = self
         if len(self) > self.most:
             self.clear()
 
 
+def give_back() -> None:
+    """Return memory that is free within this process to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 2000 rows and 8 MB from now on: the JVM and the Python worker hold each batch more than once, and texts are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def text_runs(column: pa.Array, size: int = 2_000_000) -> Iterator[list[str]]:
     """The texts of a column in order, nulls as empty, in runs of about so many bytes; a longer text is a run of its own. A batch is never held
     as Python strings all at once."""
