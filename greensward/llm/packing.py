@@ -16,6 +16,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -43,15 +44,23 @@ class ChunkEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = path
         self.single = Tokenizer.from_file(path)  # for words that are normalised and split already
         self.single.normalizer = None
         self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.marks = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.marks = [t.content for t in self.single.get_added_tokens_decoder().values()]
         self.split = regex.compile(WORD)
-        self.chunks = Memo(250_000)
+        self.chunks = Memo(200_000)
+
+    @cached_property
+    def library(self):
+        """The vocabulary as it is; loaded only where a text needs it."""
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(self.path)
+        whole.no_truncation()
+        whole.no_padding()
+        return whole
 
     def _plain(self, text: str) -> bool:
         if not text.isascii() and (max(text) >= "\u0250" or "\u0130" in text):
@@ -72,7 +81,9 @@ class ChunkEncoder:
                 else:
                     compound[c] = [c[:-1], c[-1]] if c[:-1].isalpha() and c[-1] in ".,;:!?" else self.split.findall(c)
         words += {w for parts in compound.values() for w in parts if w not in known} - set(words)
-        known.update(zip(words, (array("I", e.ids).tobytes() for e in self.single.encode_batch_fast(words, add_special_tokens=False))))
+        for k in range(0, len(words), 4000):  # the library's results are large
+            part = words[k : k + 4000]
+            known.update(zip(part, (array("I", e.ids).tobytes() for e in self.single.encode_batch_fast(part, add_special_tokens=False))))
         for c, parts in compound.items():
             known[c] = b"".join([known[w] for w in parts])
 
