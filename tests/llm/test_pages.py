@@ -226,3 +226,25 @@ def test_license_query_equals_brute_force(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in QUERIES["op10_licenses"](spark, SF).collect():
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == plain_base(docs[r.doc_id])
+
+
+def all_rules(text):
+    """Labels left and number of detections by every rule, without any filter before it."""
+    found = [(m.start(), m.end(), label, priority) for label, priority, _, _, rule in L.rules() for m in re.finditer(rule, text)]
+    found = sorted(found, key=lambda d: (d[0], -d[1], -d[3]))
+    return {d[2] for i, d in enumerate(found) if not any(e[0] <= d[0] and e[1] >= d[1] and e[3] >= d[3] for e in found[:i])}, len(found)
+
+
+def equal_all_rules(spark, texts):
+    for r in L.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        labels, n = all_rules(texts[r.doc_id])
+        assert n and set(filter(None, r.labels.split(","))) == labels | set(filter(None, r.base_labels.split(","))) and r.n_detections == n, texts[r.doc_id]
+
+
+SPDX = "MPL-2.0 EPL-2.0 BSL-1.0 OFL-1.1 EUPL-1.2 GFDL-1.3 SSPL-1.0 MS-PL MS-RL OSL-3.0 AFL-3.0 ODbL-1.0 BUSL-1.1 CPL-1.0 PD AGPL-3.0 Python-2.0 LicenseRef-Proprietary".split()
+NAMED = ["Massachusetts Institute of Technology license", "Common Development and Distribution License", "Internet Systems Consortium License", "Licensed under the X Consortium license", "license: GFDL", "license: EUPL", "license = PSF",
+         "The SSPL license", "ODbL license 1.0", "license: MPL-1.1", "see the license at https://www.eclipse.org/legal/epl-v20.html", "license https://mariadb.com/bsl11/", "GPL v2 license"]
+
+
+def test_keywords_lose_no_match(spark):
+    equal_all_rules(spark, [f"SPDX-License-Identifier: {s}" for s in SPDX] + NAMED)
