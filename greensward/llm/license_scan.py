@@ -2,7 +2,7 @@
 
 Some hundreds of rules are a license's names put into a few kinds of phrase (identifier, grant, title, web address).
 Every match holds its kind's anchor, a fixed word of the phrase, and at least one of the rule's keywords, which are read off the
-names' own expressions. A text is first tested for words that any rule needs; only texts that pass are tested for keywords, and only rules whose anchor
+names' own expressions. A text is first tested for anchors; only texts that hold one are tested for keywords, and only rules whose anchor
 and one keyword stand in the text run their regular expression, so no match is lost. Detections are intervals.
 One that lies within another of the same or a higher priority is suppressed, ordered by start, then longest, then
 priority. What survives gives the labels and the score, 1 - product(1 - weight of the rule's priority).
@@ -89,7 +89,6 @@ KINDS = [
     (2, 0.6, "licen", r"\b(?:the\s+)?(?:{names})\s*(?:\(\w+\)\s*)?licen[cs]e(?:d\b)?(?:,?\s*(?:v|version\s*)?\d(?:\.\d+)*)?"),
     (1, 0.4, "licen", r"\blicen[cs]e\s*[:=]\s*[\"']?(?:{names}|{spdx})\b"),
 ]
-GATE = r"(?i)licen[cs]e|spdx|creativecommons|public\s+domain|all\s+rights|gnu\.org|opensource\.org|\bCC[- ]BY|\bGPL|apache\.org|mozilla\.org|unlicense"
 
 SEP, WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Base phrases: label and words.
@@ -208,7 +207,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_detections, n_suppressed) of each row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    gated = rows.withColumn("found", F.when(F.col("text").rlike(GATE), detections(F.col("text"))).otherwise(F.array().cast("array<struct<start:int,stop:int,label:string,priority:int,weight:double>>")))
+    anchored = F.exists(F.array(*map(F.lit, sorted({a for _, _, a, _ in KINDS}))), lambda a: F.contains(F.lower("text"), a))
+    gated = rows.withColumn("found", F.when(anchored, detections(F.col("text"))).otherwise(F.array().cast("array<struct<start:int,stop:int,label:string,priority:int,weight:double>>")))
     kept = gated.select("doc_id", F.size("found").alias("n_found"), F.when(F.size("found") > 0, resolved(F.col("found"))).alias("r"), *[c.alias(n) for n, c in base_columns(F.col("text")).items()])
     labels = F.array_sort(F.array_union("base_labels", F.coalesce("r.labels", F.array().cast("array<string>"))))
     missed = F.coalesce("r.miss", F.lit(1.0)) * F.when(F.col("n_base") > 0, 0.5).otherwise(1.0)

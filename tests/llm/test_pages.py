@@ -248,3 +248,11 @@ NAMED = ["Massachusetts Institute of Technology license", "Common Development an
 
 def test_keywords_lose_no_match(spark):
     equal_all_rules(spark, [f"SPDX-License-Identifier: {s}" for s in SPDX] + NAMED)
+
+
+UNNAMED = ["Released under the LGPL v2.1.", "Distributed under the WTFPL.", "Released under the BSD.", "Available under the terms of the MIT.", "Provided under the AGPLv3", "https://www.eclipse.org/legal/epl-v20.html",
+           "code is covered under the CDDL", "may be used under terms of the Artistic", "http://eupl.eu/1.2/en", "see https://www.wtfpl.net/about"]
+
+
+def test_texts_without_the_word_license_are_scanned(spark):
+    equal_all_rules(spark, UNNAMED)
