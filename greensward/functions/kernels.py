@@ -259,8 +259,8 @@ def simplified(pts: np.ndarray, tolerance: float) -> np.ndarray:
     return pts[keep]
 
 
-def largest_rectangle(mask: np.ndarray) -> tuple[int, int, int, int]:
-    """(row, col, rows, cols) of the largest all-true rectangle; the first in row-major order of its lower right corner."""
+def largest_rectangle(mask: np.ndarray, least: int = 1) -> tuple[int, int, int, int]:
+    """(row, col, rows, cols) of the largest all-true rectangle of at least so many cells a side, zeros where there is none; the first in row-major order of its lower right corner."""
     best, run = (0, 0, 0, 0), np.zeros(mask.shape[1], int)
     for r in range(mask.shape[0]):
         run = np.where(mask[r], run + 1, 0)
@@ -269,7 +269,7 @@ def largest_rectangle(mask: np.ndarray) -> tuple[int, int, int, int]:
             start = c
             while stack and stack[-1][1] >= v:
                 start, height = stack.pop()
-                if height * (c - start) > best[2] * best[3]:
+                if min(height, c - start) >= least and height * (c - start) > best[2] * best[3]:
                     best = (r - height + 1, start, height, c - start)
             if v:
                 stack.append((start, v))

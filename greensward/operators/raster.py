@@ -129,8 +129,8 @@ def rectangles(raster: DataFrame, grid: Grid, key: str = "raster", least: int =
     def run(h: np.ndarray) -> pd.DataFrame:
         mask, out = ~np.isnan(h), []
         while len(out) < most:
-            r, c, n, m = K.largest_rectangle(mask)
-            if min(n, m) < least:
+            r, c, n, m = K.largest_rectangle(mask, least)
+            if not n:
                 break
             mask[r : r + n, c : c + m] = False
             out.append((len(out), r, c, n, m))

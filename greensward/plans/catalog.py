@@ -535,36 +535,38 @@ def layer_union(spark, d):
 # -- kernels: no SQL; tests hold them against brute force and their invariants
 
 
+TILE = GR.Grid(rows=50, cols=50, max_x=1000.0, max_z=1000.0)
+
+
 def tiles(spark: SparkSession, d: str) -> DataFrame:
-    """Rasters of 40 x 40 cells of 20 m, one per quarter of the ground, in their own frame, where a fifth of the cells is taken out."""
-    g = ground(spark, d).where("row < 80 AND col < 80 AND (row * 7 + col * 3) % 5 <> 0")
-    return g.select((F.floor(F.col("row") / 40) * 2 + F.floor(F.col("col") / 40)).cast("int").alias("raster"), (F.col("row") % 40).alias("row"), (F.col("col") % 40).alias("col"), "h")
+    """Rasters of 50 x 50 cells of 20 m, one per quarter of the ground, in their own frame, with the ground's own gaps."""
+    row, col = F.col("row"), F.col("col")
+    return ground(spark, d).select((F.floor(row / 50) * 2 + F.floor(col / 50)).cast("int").alias("raster"), (row % 50).alias("row"), (col % 50).alias("col"), "h")
 
 
 @query("gap_fill")
 def gap_fill(spark, d):
-    return RA.filled(tiles(spark, d), BLOCK)
+    return RA.filled(tiles(spark, d), TILE)
 
 
 @query("edt")
 def edt(spark, d):
-    return RA.distances(tiles(spark, d), BLOCK)
+    return RA.distances(tiles(spark, d), TILE)
 
 
 @query("components")
 def components(spark, d):
-    return RA.components(tiles(spark, d).where("h > 260"), BLOCK)
+    return RA.components(tiles(spark, d).where("h > 260"), TILE)
 
 
 @query("tree_detect")
 def tree_detect(spark, d):
-    p = A.points(spark, d).withColumn("raster", F.floor(F.col("x") / 500).cast("int"))
+    """Crowns in squares of 500 m: the highest vegetation over the mean ground of each cell of 10 m."""
     small = GR.Grid(rows=50, cols=50, max_x=500.0, max_z=500.0)
-    at = p.where("z < 500").withColumn("x", F.col("x") % 500)
-    cells = lambda c, f: at.where(F.col("classification") == c).groupBy("raster", small.row_of(F.col("z")).alias("row"), small.col_of(F.col("x")).alias("col")).agg(f("elevation").alias("h"))
-    g = cells(2, F.min)
-    c = g.withColumn("h", F.col("h") + F.when((F.col("row") % 10).between(3, 6) & (F.col("col") % 10).between(3, 6), 12.0).otherwise(0.0))
-    return RA.trees(g.select("raster", "row", "col", F.lit(100.0).alias("h")), c.select("raster", "row", "col", (F.col("h") - F.col("h") + 100.0 + F.when((F.col("row") % 10).between(3, 6) & (F.col("col") % 10).between(3, 6), 12.0).otherwise(0.0)).alias("h")), small)
+    x, z = F.col("x"), F.col("z")
+    at = A.points(spark, d).select((F.floor(z / 500) * 4 + F.floor(x / 500)).cast("int").alias("raster"), (x % 500).alias("x"), (z % 500).alias("z"), "elevation", "classification")
+    cells = lambda kinds, f: at.where(F.col("classification").isin(*kinds)).groupBy("raster", small.row_of(F.col("z")).alias("row"), small.col_of(F.col("x")).alias("col")).agg(f("elevation").alias("h"))
+    return RA.trees(cells((2,), F.avg), cells((3, 4, 5), F.max), small)
 
 
 @query("contour_poisson")
@@ -574,7 +576,7 @@ def contour_poisson(spark, d):
 
 @query("scatter_refine")
 def scatter_refine(spark, d):
-    return RA.scattered(tiles(spark, d), GR.Grid(rows=40, cols=40, max_x=800.0, max_z=800.0), 60.0)
+    return RA.scattered(tiles(spark, d), TILE, 60.0)
 
 
 @query("adaptive_refine")
@@ -582,17 +584,17 @@ def adaptive_refine(spark, d):
     t = tiles(spark, d)
     flat = t.groupBy("raster").agg(F.avg("h").alias("h"))
     predicted = t.drop("h").join(F.broadcast(flat), "raster")  # a row per raster
-    return RA.hotspots(t, predicted, GR.Grid(rows=40, cols=40, max_x=800.0, max_z=800.0), 20.0, 60.0, tolerance=10.0)
+    return RA.hotspots(t, predicted, TILE, 20.0, 60.0, tolerance=10.0)
 
 
 @query("rect_fill")
 def rect_fill(spark, d):
-    return RA.rectangles(tiles(spark, d), BLOCK)
+    return RA.rectangles(tiles(spark, d), TILE)
 
 
 @query("outlines")
 def outlines(spark, d):
-    return RA.outlines(tiles(spark, d).where("h > 260"), BLOCK)
+    return RA.outlines(tiles(spark, d).where("h > 260"), TILE)
 
 
 @query("prune_stamps")

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from greensward.plans.catalog import QUERIES, SQL
+from greensward.plans.catalog import QUERIES, SQL, ground, tiles
 
 from .oracle import connect, same
 
@@ -25,3 +25,13 @@ def test_query_equals_sql(spark, con, name):
 def test_query_without_sql_runs(spark, name):
     df = QUERIES[name](spark, SF)
     assert df.count() > 0 and not any("nan" in str(r).lower() for r in df.limit(50).collect())
+
+
+def test_tiles_hold_all_of_the_ground(spark):
+    got = {(r.raster // 2 * 50 + r.row, r.raster % 2 * 50 + r.col): r.h for r in tiles(spark, SF).collect()}
+    assert got == {(r.row, r.col): r.h for r in ground(spark, SF).collect()}
+
+
+def test_trees_come_from_all_points_and_their_own_heights(spark):
+    got = QUERIES["tree_detect"](spark, SF).collect()
+    assert {r.raster for r in got} == set(range(16)) and len({round(r.height, 3) for r in got}) > 20

@@ -137,3 +137,9 @@ def test_refine_finds_the_widest_error_first():
     got = K.refine(actual, predicted, 1.0, 1.0, 6.0)
     assert got[0][:2] == (20, 20) and got[0][3] == -5.0 and any(g[:2] == (7, 7) for g in got)
     assert K.refine(actual, actual, 1.0, 1.0, 6.0) == [] and len(K.refine(actual, predicted, 1.0, 1.0, 6.0, most=1)) == 1
+
+
+def test_a_long_strip_hides_no_rectangle():
+    mask = np.zeros((6, 12), bool)
+    mask[0] = mask[3:5, 3:5] = True
+    assert K.largest_rectangle(mask) == (0, 0, 1, 12) and K.largest_rectangle(mask, 2) == (3, 3, 2, 2) and K.largest_rectangle(mask, 3) == (0, 0, 0, 0)
