@@ -382,6 +382,13 @@ def clip_area(spark, d):
     return c.where(F.abs(F.col("area") - F.col("full")) < 1e-6).select("poly", r6("area", 5).alias("area"))
 
 
+@query("clipped_areas")
+def clipped_areas(spark, d):
+    """All polygons that reach into the box, those the box cuts too."""
+    c = FE.clipped_rings(A.polygons(spark, d), (200.0, 200.0, 1800.0, 1800.0))
+    return c.select("poly", r6(SP.ring_area(F.col("ring")), 5).alias("area"))
+
+
 @query("point_in_polygon", f"WITH {TREES}, {POLYGONS} SELECT tree, poly FROM ({inside_sql('trees', 'tree')})")
 def point_in_polygon(spark, d):
     return SP.in_polygons(A.trees(spark, d), A.polygons(spark, d), "tree")

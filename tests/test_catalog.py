@@ -5,6 +5,7 @@ import os
 import pytest
 
 from greensward.plans.catalog import QUERIES, SQL, ground, tiles
+from greensward.sources import adapters as A
 
 from .oracle import connect, same
 
@@ -35,3 +36,22 @@ def test_tiles_hold_all_of_the_ground(spark):
 def test_trees_come_from_all_points_and_their_own_heights(spark):
     got = QUERIES["tree_detect"](spark, SF).collect()
     assert {r.raster for r in got} == set(range(16)) and len({round(r.height, 3) for r in got}) > 20
+
+
+def test_clipped_areas_equal_areas_of_strips(spark):
+    def area(ring):
+        """The diamond's part in the box, by the heights of many thin strips."""
+        cx, cz, rad = ring[1].x, ring[0].z, ring[0].x - ring[1].x
+        step, total = 2 * rad / 20_000, 0.0
+        for i in range(20_000):
+            x = cx - rad + (i + 0.5) * step
+            if 200 <= x <= 1800:
+                half = rad - abs(x - cx)
+                total += max(0.0, min(1800, cz + half) - max(200, cz - half)) * step
+        return total
+
+    got, full = [QUERIES[q](spark, "/root/testdata/sf0.01").collect() for q in ("clipped_areas", "clip_area")]
+    rings = {r.poly: r.ring for r in A.polygons(spark, "/root/testdata/sf0.01").collect()}
+    want = {p: a for p, ring in rings.items() if (a := area(ring)) > 0}
+    assert {r.poly for r in got} == set(want) and len(got) > len(full)
+    assert all(r.area == pytest.approx(want[r.poly], rel=1e-4, abs=1e-2) for r in got)
