@@ -111,12 +111,13 @@ def with_columns_renamed_apart(df: DataFrame, names: Sequence[str]) -> DataFrame
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the undirected edges (src, dst); component is the smallest node reachable.
 
-    Each round every node takes the smallest label among its neighbours' and its own, then labels are followed
-    once (label of the label). Only min-aggregates and equi-joins are used, so a node with very many neighbours is
-    pre-aggregated before the shuffle. Each round is written to the shared folder. Nulls and self loops are ignored.
+    Each round the smallest label among a node's neighbours' and its own goes to the node and to the node its label names (the root), then
+    labels are followed once (label of the label), until nothing changes: roots merge and paths halve, so long chains take few rounds. Only
+    min-aggregates and equi-joins are used, so a node with very many neighbours is pre-aggregated before the shuffle. Each round is written to
+    the shared folder. Nulls and self loops are ignored.
     """
     both = (
         edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
@@ -126,14 +127,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     both = staged(both.distinct(), "edges")
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("component")), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = (
             both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b")
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("c").alias("c"))
         )
-        hooked = labels.join(near, "node").select("node", F.least("component", "c").alias("component"), F.col("component").alias("before"))
-        hooked = staged(hooked, "hooked")
+        offers = labels.join(near, "node").select("node", "component", F.least("component", "c").alias("c")).select(
+            F.explode(F.array(F.struct("node", "c", F.col("component").alias("before")), F.struct(F.col("component").alias("node"), "c", F.lit(None).alias("before")))).alias("o")
+        )
+        hooked = staged(offers.groupBy("o.node").agg(F.min("o.c").alias("component"), F.max("o.before").alias("before")), "hooked")
         up = hooked.select(F.col("node").alias("component"), F.col("component").alias("up"))
         jumped = hooked.join(up, "component", "left").select("node", F.least("component", "up").alias("component"), "before")
         after = staged(jumped, "labels")
@@ -144,4 +147,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not changed:
             remove(both)
             return labels.select("node", "component")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from greensward.llm import common as C
 from greensward.llm import set_join as S
 from greensward.llm.queries import QUERIES, SQL
 
@@ -88,3 +89,14 @@ def test_parity_bits_never_exceed_the_difference():
 
 def test_prefix_length():
     assert [S.prefix_length(n, 90) for n in (1, 9, 10, 11, 100)] == [1, 1, 2, 2, 11]
+
+
+def test_long_chains_settle_in_few_rounds(spark, monkeypatch):
+    order = list(range(400))
+    random.Random(5).shuffle(order)
+    links = [*zip(order, order[1:]), (1000, 1001), (1002, 1001), (7, 7), (None, 3), (4, None)]
+    taken, staged = [], C.staged
+    monkeypatch.setattr(C, "staged", lambda df, name: (taken.append(name), staged(df, name))[1])
+    got = {r.node: r.component for r in C.connected_components(spark.createDataFrame(links, "src long, dst long")).collect()}
+    assert got == {**dict.fromkeys(range(400), 0), 1000: 1000, 1001: 1000, 1002: 1000}
+    assert taken.count("hooked") <= 12
