@@ -173,17 +173,18 @@ def contamination(
 ) -> DataFrame:
     """docs with contaminated, coverage, item_id (of the item covered most) and n_tiles; columns of these names are replaced.
 
-    The benchmark is read in blocks of at most block_items items, ordered by id; each block is a pass over the documents' words.
+    The benchmark is read in blocks of at most block_items distinct items, ordered by id and text; each block is a pass over the documents' words.
     """
     added = ["contaminated", "coverage", "item_id", "n_tiles"]
     docs = with_columns_renamed_apart(docs, added)
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
     names, t = docs.columns, docs.columns.index(text_col)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", contaminated boolean, coverage double, item_id long, n_tiles int"
 
     out, last = None, None
     while True:
-        rows = (items if last is None else items.where(F.col("i") > last)).orderBy("i", "t").limit(block_items).collect()  # a bounded block
+        after = items if last is None else items.where((F.col("i") > last.i) | ((F.col("i") == last.i) & (F.col("t") > last.t)))
+        rows = after.orderBy("i", "t").limit(block_items).collect()  # a bounded block
         if out is not None and not rows:
             return out
         shared = docs.sparkSession.sparkContext.broadcast(Block([r.i for r in rows], [r.t for r in rows], least))
@@ -199,7 +200,7 @@ def contamination(
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *judged], [*names, *added])
 
         out = (docs if first else out).mapInArrow(judge, schema)
-        last = rows[-1].i if rows else None
+        last = rows[-1] if rows else None
         if len(rows) < block_items:
             return out
 

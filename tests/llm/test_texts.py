@@ -173,3 +173,12 @@ def test_windows_tell_equal_runs(n):
     for i in range(len(h)):
         for j in range(len(h)):
             assert (h[i] == h[j]) == (a[i : i + n] == a[j : j + n]).all()
+
+
+def test_items_of_one_id_are_all_read(spark):
+    parts = [" ".join(f"{c}{i}" for i in range(9)) for c in "abcde"]
+    docs = frame(spark, [f"x {p} y" for p in parts] + ["clean words of no item at all"])
+    bench = spark.createDataFrame([(1, p) for p in parts[:4]] + [(1, parts[0])] * 3 + [(2, parts[4])], "item_id long, text string")
+    for block in (1, 2, 3):
+        got = {r.doc_id: (r.contaminated, r.item_id) for r in D.contamination(docs, bench, block_items=block).collect()}
+        assert got == {**dict.fromkeys(range(4), (True, 1)), 4: (True, 2), 5: (False, None)}
