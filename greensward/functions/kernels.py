@@ -129,6 +129,25 @@ def nearest_seed(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def nearest_value(h: np.ndarray, row: int, col: int) -> float:
+    """The value of the cell with data nearest to a cell, as nearest_seed gives it, from squares that grow about it; NaN where no cell has data."""
+    reach, last = 0, max(h.shape)
+    while True:
+        r0, c0 = max(0, row - reach), max(0, col - reach)
+        part = h[r0 : row + reach + 1, c0 : col + reach + 1]
+        at = np.argwhere(~np.isnan(part)) + (r0, c0)
+        if len(at):
+            square = ((at - (row, col)) ** 2).sum(axis=1)
+            k = np.argmin(square)
+            if square[k] <= reach * reach:  # nothing outside is as near
+                return float(h[at[k, 0], at[k, 1]])
+            reach = math.isqrt(int(square[k])) + 1
+        elif reach >= last:
+            return math.nan
+        else:
+            reach = 2 * reach + 1
+
+
 def filled(h: np.ndarray, rounds: int = 200, tolerance: float = 1e-4, smallest: int = 32) -> np.ndarray:
     """Gaps filled from coarse to fine; cells with data keep their values."""
     if h.shape[0] != h.shape[1]:

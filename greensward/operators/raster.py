@@ -106,7 +106,7 @@ def trees(ground: DataFrame, canopy: DataFrame, grid: Grid, key: str = "raster")
 
 def contour_stamps(banded: DataFrame, grid: Grid, largest: float = 50.0, smallest: float = 10.0, ratio: float = 0.85, plateau: float = 0.5, candidates: int = 2000, seed: int = 1, denoise: int = 1, edge: float = 0.0, crumb_radius: float = 16.0, crumb_share: float = 0.25) -> DataFrame:
     """(band, pass, idx, x, z, radius, value): for each band (band, row, col, h) discs whose plateaus don't overlap, then smaller stamps on what
-    is left. Bands are groups of their own, seeded by seed + band, so the result doesn't depend on how they are run."""
+    is left. A stamp's value is that of the nearest cell with data to its centre. Bands are groups of their own, seeded by seed + band, so the result doesn't depend on how they are run."""
     radii = G.tier_radii(largest, smallest, ratio)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -116,9 +116,8 @@ def contour_stamps(banded: DataFrame, grid: Grid, largest: float = 50.0, smalles
         mask = K.denoised(~np.isnan(h), denoise)
         discs, left = K.poisson_pack(mask, grid.cell_x, radii, plateau, edge, candidates, seed + band)
         crumbs = K.crumb_fill(left, grid.cell_x, crumb_radius, crumb_share)
-        known = K.nearest_seed(h) if np.isnan(h[mask]).any() and mask.sum() < 20_000 else np.where(np.isnan(h), np.nanmean(h), h)
         rows = [(band, 1, i, r, c, q) for i, (r, c, q) in enumerate(discs)] + [(band, 2, i, r, c, crumb_radius) for i, (r, c) in enumerate(crumbs)]
-        return pd.DataFrame([(b, p, i, grid.min_x + (c + 0.5) * grid.cell_x, grid.min_z + (r + 0.5) * grid.cell_z, float(q), known[r, c]) for b, p, i, r, c, q in rows], columns=["band", "pass", "idx", "x", "z", "radius", "value"])
+        return pd.DataFrame([(b, p, i, grid.min_x + (c + 0.5) * grid.cell_x, grid.min_z + (r + 0.5) * grid.cell_z, float(q), K.nearest_value(h, r, c)) for b, p, i, r, c, q in rows], columns=["band", "pass", "idx", "x", "z", "radius", "value"])
 
     return banded.groupBy("band").applyInPandas(run, "band int, pass int, idx int, x double, z double, radius double, value double")
 

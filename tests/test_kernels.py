@@ -143,3 +143,13 @@ def test_a_long_strip_hides_no_rectangle():
     mask = np.zeros((6, 12), bool)
     mask[0] = mask[3:5, 3:5] = True
     assert K.largest_rectangle(mask) == (0, 0, 1, 12) and K.largest_rectangle(mask, 2) == (3, 3, 2, 2) and K.largest_rectangle(mask, 3) == (0, 0, 0, 0)
+
+
+def test_nearest_value_equals_nearest_seed():
+    rng = np.random.default_rng(3)
+    for share in (0.3, 0.9, 0.97):
+        h = rng.random((12, 17))
+        h[rng.random(h.shape) < share] = np.nan
+        want = K.nearest_seed(h)
+        assert all(K.nearest_value(h, r, c) == want[r, c] for r in range(12) for c in range(17))
+    assert np.isnan(K.nearest_value(np.full((3, 4), np.nan), 1, 1))

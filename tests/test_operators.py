@@ -9,6 +9,7 @@ from greensward.functions import geometry as G
 from greensward.operators import features as FE
 from greensward.operators import grid as GR
 from greensward.operators import objects as OB
+from greensward.operators import raster as RA
 from greensward.operators import spatial as SP
 from greensward.operators import stamps as ST
 from greensward.sources import adapters as A
@@ -172,3 +173,11 @@ def test_layers_as_a_stream(spark, tmp_path):
     state = spark.createDataFrame([(0, 0.5, 1.0), (1, 1.0, 0.0)], "cell int, a double, b double")
     newer = spark.createDataFrame([(0, 0.5, 2.0)], "cell int, a double, b double")
     assert rows(merged_state(state, newer, ["cell"]), "cell", "a", "b") == [(0, 0.25, 2.5), (1, 1.0, 0.0)]
+
+
+def test_stamps_of_large_bands_take_the_nearest_value(spark):
+    grid = GR.Grid(rows=160, cols=160, max_x=1600.0, max_z=1600.0)
+    at = grid.cells(spark).where("(row + col) % 2 = 0 OR row < 5 OR col < 5").select("row", "col", F.lit(0).alias("band"), (F.col("row") * 1000.0 + F.col("col")).alias("h"))
+    got = RA.contour_stamps(at, grid, candidates=20).collect()
+    gaps = [r for r in got if (int(r.z / 10) + int(r.x / 10)) % 2 and min(r.z, r.x) > 60]
+    assert gaps and all(abs(r.value // 1000 - int(r.z / 10)) + abs(r.value % 1000 - int(r.x / 10)) == 1 for r in gaps)
