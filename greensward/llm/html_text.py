@@ -1,7 +1,7 @@
 """Main text of web pages by removing what a site repeats.
 
 Every page is parsed into a flat tree. Each element subtree is hashed from its tag, classes and content; Spark counts
-the pages of a host on which a hash occurs, and subtrees that recur on many of them are deleted, along with parts
+the pages of a host on which a hash occurs, and subtrees that recur on eight or more (least_pages) are deleted, along with parts
 that HTML itself marks as no main text (nav, footer, forms, scripts, adverts, comments, ...). Of what is left the articles are
 read, else the main element, else the body. Prose blocks of an article (paragraphs, headings, quotes, list
 items) are never deleted as a template: many pages may quote the same passage.
@@ -191,27 +191,25 @@ class Page:
 HOST = "lower(coalesce(regexp_extract({0}, '^[^:]*://([^/?#]*)', 1), ''))"
 
 
-def site_templates(pages: DataFrame, url_col: str, html_col: str, least_pages: int, least_share: float) -> DataFrame:
-    """(host, template): hashes that occur on at least so many and such a share of a host's pages. A host has at most
-    1 / least_share times as many as a page has on average, so the arrays are bounded by the pages, not by their number."""
+def page_templates(rows: DataFrame, least_pages: int) -> DataFrame:
+    """(k1, k2, template): of each page, by the keys of `rows`, the hashes inside it that occur on at least so many pages of its host. A page's
+    array is bounded by its elements; templates meet pages as single (host, hash) rows, however many a host has."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[0, *Page(h).repeatable()] if h else [0] for h in batch.column(1).to_pylist()]  # 0 counts the page
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["host", "hashes"])
+            found = [Page(h).repeatable() if h else [] for h in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], ["k1", "k2", "host", "hashes"])
 
-    seen = pages.select(F.expr(HOST.format(url_col)).alias("host"), html_col).mapInArrow(hashes, "host string, hashes array<long>")
-    counts = staged(seen.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(f"n >= {least_pages} OR h = 0"), "subtrees")
-    of_host = counts.where("h = 0").select("host", F.col("n").alias("of"))
-    many = counts.where("h <> 0").join(of_host, "host").where(F.col("n") >= least_share * F.col("of"))
-    return many.groupBy("host").agg(F.collect_list("h").alias("template"))
+    seen = rows.select("k1", "k2", "host", "html").mapInArrow(hashes, "k1 long, k2 int, host string, hashes array<long>").select("k1", "k2", "host", F.explode("hashes").alias("h"))
+    templates = staged(seen.groupBy("host", "h").agg(F.count("*").alias("n")).where(f"n >= {least_pages}").select("host", "h"), "templates")
+    return seen.join(templates, ["host", "h"]).groupBy("k1", "k2").agg(F.collect_set("h").alias("template"))
 
 
-def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 8, least_share: float = 0.05) -> DataFrame:
+def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 8) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    templates = site_templates(pages, url_col, html_col, least_pages, least_share)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.expr(HOST.format(url_col)).alias("host"))
-    joined = rows.join(templates, "host", "left").select("page_id", "url", "html", "template")
+    rows = rows.select("*", F.xxhash64("host", "html").alias("k1"), F.hash("host", "html").alias("k2"))  # pages of a host with the same source share their templates
+    joined = rows.join(page_templates(rows, least_pages), ["k1", "k2"], "left").select("page_id", "url", "html", "template")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -256,3 +256,12 @@ UNNAMED = ["Released under the LGPL v2.1.", "Distributed under the WTFPL.", "Rel
 
 def test_texts_without_the_word_license_are_scanned(spark):
     equal_all_rules(spark, UNNAMED)
+
+
+def test_templates_do_not_depend_on_the_size_of_the_host(spark):
+    page = lambda i, menu: f"<div><div>{'Section notice' if menu else f'line {i}'}</div><p>own text {i}</p></div>"
+    pages = [(i, f"http://{host}.org/{i}", page(i, i % of < n)) for host, first, of, n in (("large", 0, 400, 8), ("small", 1000, 20, 8)) for i in range(first, first + of)]
+    pages += [(2000 + k, "http://large.org/0", page(0, True)) for k in range(2)] + [(2100 + k, "http://other.org/", page(k, k < 7)) for k in range(30)]
+    got = {r.page_id: r.text for r in X.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    assert len(got) == len(pages) and got[3] == "own text 3" and got[1003] == "own text 1003" and got[2001] == "own text 0"
+    assert got[300] == "line 300\nown text 300" and got[2103] == "Section notice\nown text 3"
