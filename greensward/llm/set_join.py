@@ -8,15 +8,17 @@
    links are families.
    Before sets are compared pairs are dropped whose parity bits (512 per set, 4096 more for large ones) differ in more places than linked sets can.
 4. A set's answers are then derived from its leader's: pairs within a family are joined already and never made; for two
-   sets that know their overlap with the same leader, |x|-based bounds decide most of the rest; only pairs of different families
-   in a list, of blocks whose sizes and positions allow the overlap, are compared in full.
+   sets that know their overlap with the same leader, |x|-based bounds decide most of the rest. The foremost 64 members of a block (heads)
+   are compared with all members of other families in the list, of blocks whose sizes and positions allow the overlap, and families are
+   joined by the links found. Only then the members of longer blocks that aren't heads are compared with each other, if they are still of
+   different families: a large group of near copies is one family by then for the most part.
 
 Two sets link when 100 |x & y| >= 90 |x | y| (general: percent). Every pair of different families that may link is
 compared, so components are those of all links. Shingles and words are 64-bit hashes.
 
 Defined results: texts without words have an empty set and link with nothing; fewer words than a shingle are one
-shingle; null texts are empty; repeated rows are copies; rows with a null id are labelled by their class's smallest id,
-and a class without any id links only with equal sets.
+shingle; null texts are empty; repeated rows are copies; rows with a null id link like any other and are labelled by the smallest id
+reachable, null if there is none.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, release, remove, staged, table, text_runs
@@ -86,8 +88,8 @@ def long_lists(arrays: Sequence[np.ndarray]) -> pa.ListArray:
 
 
 def with_prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, classes: DataFrame, several: DataFrame, frequent_from: int, most_frequent: int) -> DataFrame:
-    """(cid, prefix, again): the first tokens of each class in the global order, frequent tokens last. Where a head holds too few others, again
-    is true and the prefix comes from the text, read once more."""
+    """(cid, n, prefix, again): the first tokens of each class in the global order, frequent tokens last. Where a head holds too few others,
+    again is true and the prefix comes from the text, read once more."""
     top = several.where(F.col("c") > frequent_from).orderBy(F.desc("c"), "token").limit(most_frequent)  # at most most_frequent numbers, which only set the order
     frequent = np.sort(top.select("token").toArrow()["token"].to_numpy().view(np.uint64))
     late = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -104,28 +106,41 @@ def with_prefixes(docs: DataFrame, id_col: str, text_col: str, size: int, percen
     def of_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [first(np.array(h, np.int64).view(np.uint64), n, False) for h, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], ["cid", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.list_(pa.int64()))], ["cid", "n", "prefix"])
 
     def of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [(c, first(s, len(s), True)) for t, c, sig in zip(*(batch.column(k).to_pylist() for k in range(3))) if digest(s := shingles(t, size)) == sig]
-            yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.list_(pa.int64()))], ["cid", "prefix"])
+            made = [(c, len(s), first(s, len(s), True)) for t, c, sig in zip(*(batch.column(k).to_pylist() for k in range(3))) if digest(s := shingles(t, size)) == sig]
+            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["cid", "n", "prefix"])
 
-    heads = staged(classes.select("cid", "head", "n").mapInArrow(of_heads, "cid long, prefix array<long>"), "heads")
+    heads = staged(classes.select("cid", "head", "n").mapInArrow(of_heads, "cid long, n long, prefix array<long>"), "heads")
     again = heads.where("prefix IS NULL").select("cid")
-    read = texts_of(docs, id_col, text_col, classes, again).mapInArrow(of_texts, "cid long, prefix array<long>")
-    read = read.groupBy("cid").agg(F.first("prefix").alias("prefix"))
+    read = texts_of(docs, id_col, text_col, size, classes, again).mapInArrow(of_texts, "cid long, n long, prefix array<long>")
+    read = read.groupBy("cid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     out = staged(heads.where("prefix IS NOT NULL").withColumn("again", F.lit(False)).unionByName(read.withColumn("again", F.lit(True))), "prefixes")
     remove(heads)
     return out
 
 
-def texts_of(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, ids: DataFrame) -> DataFrame:
-    """(text, cid, sig): texts of rows with the classes' smallest ids; a row is of the class only if its set has the digest sig."""
-    wanted = classes.join(ids, "cid", "left_semi").where("least IS NOT NULL").select("cid", "sig", F.col("least").alias("doc_id"))
+def texts_of(docs: DataFrame, id_col: str, text_col: str, size: int, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(text, cid, sig): texts of rows with the classes' smallest ids; a row is of the class only if its set has the digest sig. Classes
+    without any id are found among the rows without one, by their digest."""
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = [digest(shingles(t, size)) for run in text_runs(batch.column(0)) for t in run]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.binary())], ["text", "sig"])
+
+    wanted = classes.join(ids, "cid", "left_semi").select("cid", "sig", F.col("least").alias("doc_id"))
+    named = wanted.where("doc_id IS NOT NULL")
     if ids.count() <= MOST_BROADCAST:
-        wanted = F.broadcast(wanted)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id").select("text", "cid", "sig")
+        named = F.broadcast(named)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = rows.join(named, "doc_id").select("text", "cid", "sig")
+    if not wanted.where("doc_id IS NULL").limit(1).count():
+        return found
+    nameless = rows.where("doc_id IS NULL").select("text").mapInArrow(signed, "text string, sig binary").join(wanted.where("doc_id IS NULL").select("cid", "sig"), "sig")
+    return found.unionByName(nameless.select("text", "cid", "sig"))
 
 
 def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int, classes: DataFrame, ids: DataFrame) -> DataFrame:
@@ -141,7 +156,7 @@ def sets_of(docs: DataFrame, id_col: str, text_col: str, size: int, classes: Dat
                     made.append((cid, s.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], ["cid", "tokens"])
 
-    made = texts_of(docs, id_col, text_col, classes, ids).mapInArrow(sets, "cid long, tokens binary")
+    made = texts_of(docs, id_col, text_col, size, classes, ids).mapInArrow(sets, "cid long, tokens binary")
     return staged(made, "sets")
 
 
@@ -178,76 +193,130 @@ def joinable(nx: Column | str, ny: Column | str, common: str, percent: int) -> C
     return F.expr(f"100 * ({common}) >= {percent} * ({nx} + {ny} - ({common}))")
 
 
+def need(nx: str, ny: str, percent: int) -> str:
+    """SQL: the least overlap of linked sets of these sizes."""
+    return f"ceil({percent} * ({nx} + {ny}) / {100 + percent})"
+
+
+def fits(nx: str, px: str, ny: str, py: str, percent: int) -> str:
+    """SQL: whether sets of these sizes that share a token at these positions, and none before, can link."""
+    return f"least({nx} - {px}, {ny} - {py}) >= {need(nx, ny, percent)} AND 100 * least({nx}, {ny}) >= {percent} * greatest({nx}, {ny})"
+
+
+def pairs_within(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """(x, y, sure): x of small and y of large, y no smaller, in one list and of different families, that may link; sure: they do link by what
+    both know of one leader. Both have (token, blk, cid, n, pos, fam, lead, o, nl, bits): overlap o with a leader of size nl."""
+    enough = need("x_n", "y_n", percent)
+    front = small.where(f"pos <= n - {need('n', 'n', percent)}")  # positions that a set's token can have in a link with one no smaller
+    x = front.select("token", F.explode(F.array("blk", F.col("blk") + 1)).alias("blk"), *[F.col(c).alias(f"x_{c}") for c in ("cid", "n", "pos", "fam", "lead", "o", "nl", "bits")])
+    y = large.select("token", "blk", *[F.col(c).alias(f"y_{c}") for c in ("cid", "n", "pos", "fam", "lead", "o", "bits")])
+    same_lead = "x_lead <=> y_lead AND x_lead IS NOT NULL"
+    possible = (
+        f"x_fam <> y_fam AND (x_n < y_n OR (x_n = y_n AND x_cid < y_cid)) AND {fits('x_n', 'x_pos', 'y_n', 'y_pos', percent)}"
+        f" AND NOT ({same_lead} AND least(x_o, y_o) + least(x_n - x_o, y_n - y_o) < {enough})"
+    )
+    sure = F.expr(f"coalesce({same_lead} AND x_o + y_o - x_nl >= {enough}, false)").alias("sure")
+    return x.join(y, ["token", "blk"]).where(F.expr(possible) & near_bits("x_bits", "y_bits", "x_n", "y_n", percent)).select(F.col("x_cid").alias("x"), F.col("y_cid").alias("y"), sure)
+
+
+def links_of(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int, classes: DataFrame) -> DataFrame:
+    """(src, dst): the pairs (x, y, sure) that link; those not sure are compared by their sets."""
+    pairs = staged(pairs.distinct(), "pairs")
+    rest = staged(by_bits(pairs.where("NOT sure").select("x", "y"), classes, percent), "rest")
+    known = sets_of(docs, id_col, text_col, size, classes, rest.select(F.col("x").alias("cid")).union(rest.select(F.col("y").alias("cid"))).distinct())
+    links = overlaps(rest, known).where(joinable("na", "nb", "common", percent)).select("x", "y").union(pairs.where("sure").select("x", "y"))
+    links = staged(links.select(F.col("x").alias("src"), F.col("y").alias("dst")), "links")
+    for used in (pairs, rest, known):
+        remove(used)
+    return links
+
+
+def star(parts: DataFrame) -> DataFrame:
+    """(src, dst) that hold the components of parts together."""
+    return parts.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
+
+
+def with_family(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """members with fam, their component or themselves, as far as their list holds more than one."""
+    of = members.drop("fam").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("fam", F.coalesce("component", "cid")).drop("component")
+    of = staged(of, "members")
+    mixed = of.groupBy("token").agg(F.min("fam").alias("f"), F.max("fam").alias("g")).where("f <> g").select("token")
+    out = staged(of.join(mixed, "token", "left_semi"), "open")
+    remove(of)
+    return out
+
+
 def similar_sets(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90, frequent_from: int = 30, most_frequent: int = 500_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90, frequent_from: int = 30, most_frequent: int = 500_000, heads: int = 64
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row."""
-    rows = staged(indexed_sets(docs, id_col, text_col, size, percent), "indexed")
-    classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("bits").alias("bits"), F.first("big").alias("big"))
-    classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    several = staged(classes.select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "several")
-    prefixes = with_prefixes(docs, id_col, text_col, size, percent, classes, several, frequent_from, most_frequent)
+    indexed = staged(indexed_sets(docs, id_col, text_col, size, percent), "indexed")
+    whole = indexed.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("head").alias("head"), F.first("bits").alias("bits"), F.first("big").alias("big"))
+    whole = staged(whole.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    rows = staged(indexed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig")), "rows")
+    remove(indexed)
+    release(docs.sparkSession)
+    several = staged(whole.select(F.explode("head").alias("token")).groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "several")
+    prefixes = with_prefixes(docs, id_col, text_col, size, percent, whole, several, frequent_from, most_frequent)
+    classes = staged(whole.drop("head"), "classes")
+    remove(whole)
+    release(docs.sparkSession)
 
     # Index lists: only tokens of two classes or more matter. Block of a set: its size class, a little wider than the ratio of linked sizes.
-    width = f"ln(100.0 / {percent} * 1.001)"
-    need = lambda nx, ny: f"ceil({percent} * ({nx} + {ny}) / {100 + percent})"  # noqa: E731  least overlap of linked sets
-    ranked = classes.where("least IS NOT NULL").select("cid", "n").join(prefixes, "cid")
-    postings = ranked.select("cid", "n", F.expr(f"CAST(floor(ln(n) / {width}) AS int)").alias("blk"), F.posexplode("prefix").alias("pos", "token"))
-    kept = several.select("token").union(prefixes.where("again").select(F.explode("prefix").alias("token"))).distinct()
-    shared = staged(postings.join(kept, "token", "left_semi"), "postings")
+    blk = F.expr(f"CAST(floor(ln(n) / ln(100.0 / {percent} * 1.001)) AS int)").alias("blk")
+    kept = several.select("token").union(prefixes.where("again").select(F.explode("prefix").alias("token")))
+    postings = prefixes.select("cid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token")).join(kept, "token", "left_semi")
+    shared = staged(postings.select("token", blk, "cid", "n", "pos"), "postings")
+    remove(several)
+    remove(prefixes)
     release(docs.sparkSession)
 
     # Leaders, and each member's one.
     leaders = staged(shared.groupBy("token", "blk").agg(F.min(F.struct("pos", "cid", "n")).alias("lead"), F.count("*").alias("c")), "leaders")
-    fits = lambda nx, px, ny, py: f"least({nx} - {px}, {ny} - {py}) >= {need(nx, ny)} AND 100 * least({nx}, {ny}) >= {percent} * greatest({nx}, {ny})"
     follow = (
         shared.join(leaders.where("c > 1").select("token", "blk", "lead"), ["token", "blk"])
-        .where("cid <> lead.cid").where(fits("n", "pos", "lead.n", "lead.pos"))
+        .where("cid <> lead.cid").where(fits("n", "pos", "lead.n", "lead.pos", percent))
         .groupBy(F.col("cid").alias("x"), F.col("lead.cid").alias("y")).agg(F.count("*").alias("c"))
         .groupBy("x").agg(F.max(F.struct("c", F.col("y").alias("y"))).alias("best")).select("x", "best.y")
     )
     a, b = leaders.select("token", "blk", F.col("lead").alias("p")), leaders.select("token", (F.col("blk") - 1).alias("blk"), F.col("lead").alias("q"))
-    beside = a.join(b, ["token", "blk"]).where("p.cid <> q.cid").where(fits("p.n", "p.pos", "q.n", "q.pos")).select(F.expr("greatest(p.cid, q.cid)").alias("x"), F.expr("least(p.cid, q.cid)").alias("y"))
+    beside = a.join(b, ["token", "blk"]).where("p.cid <> q.cid").where(fits("p.n", "p.pos", "q.n", "q.pos", percent)).select(F.expr("greatest(p.cid, q.cid)").alias("x"), F.expr("least(p.cid, q.cid)").alias("y"))
     first = staged(by_bits(follow.union(beside).distinct(), classes, percent), "pairs")
     known = sets_of(docs, id_col, text_col, size, classes, first.select(F.col("x").alias("cid")).union(first.select(F.col("y").alias("cid"))).distinct())
     answers = staged(overlaps(first, known), "answers")
-    remove(known)
+    for used in (known, first, leaders):
+        remove(used)
+    family = connected_components(answers.where(joinable("na", "nb", "common", percent)).select(F.col("x").alias("src"), F.col("y").alias("dst")))
     release(docs.sparkSession)
-    links = answers.where(joinable("na", "nb", "common", percent)).select(F.col("x").alias("src"), F.col("y").alias("dst"))
-    family = connected_components(links)
 
     # Lists that hold several families: pairs that sizes, positions and the leaders' answers leave open.
     told = answers.groupBy("x").agg(F.max(F.struct("common", "y", "nb")).alias("t")).select(F.col("x").alias("cid"), F.col("t.y").alias("lead"), F.col("t.common").alias("o"), F.col("t.nb").alias("nl"))
-    members = shared.join(family.withColumnRenamed("node", "cid"), "cid", "left").withColumn("fam", F.coalesce("component", "cid")).drop("component").join(told, "cid", "left")
-    members = staged(members, "members")
-    mixed = members.groupBy("token").agg(F.min("fam").alias("f"), F.max("fam").alias("g")).where("f <> g").select("token")
-    open_ = staged(members.join(mixed, "token", "left_semi").join(classes.select("cid", "bits"), "cid"), "open")
-    front = open_.where(f"pos <= n - {need('n', 'n')}")  # positions that a set's token can have in a link with one no smaller
-    small = front.select("token", F.explode(F.array("blk", F.col("blk") + 1)).alias("blk"), *[F.col(c).alias(f"x_{c}") for c in ("cid", "n", "pos", "fam", "lead", "o", "nl", "bits")])
-    large = open_.select("token", "blk", *[F.col(c).alias(f"y_{c}") for c in ("cid", "n", "pos", "fam", "lead", "o", "bits")])
-    same_lead = "x_lead <=> y_lead AND x_lead IS NOT NULL"
-    possible = (
-        f"x_fam <> y_fam AND (x_n < y_n OR (x_n = y_n AND x_cid < y_cid)) AND {fits('x_n', 'x_pos', 'y_n', 'y_pos')}"
-        f" AND NOT ({same_lead} AND least(x_o, y_o) + least(x_n - x_o, y_n - y_o) < {need('x_n', 'y_n')})"
-    )
-    sure = F.expr(f"coalesce({same_lead} AND x_o + y_o - x_nl >= {need('x_n', 'y_n')}, false)").alias("sure")
-    pairs = staged(small.join(large, ["token", "blk"]).where(F.expr(possible) & near_bits("x_bits", "y_bits", "x_n", "y_n", percent)).select(F.col("x_cid").alias("x"), F.col("y_cid").alias("y"), sure).distinct(), "pairs")
-    rest = staged(by_bits(pairs.where("NOT sure"), classes, percent), "rest")
-    more = rest.select(F.col("x").alias("cid")).union(rest.select(F.col("y").alias("cid"))).distinct()
+    open_ = with_family(shared, family).join(told, "cid", "left").join(classes.select("cid", "bits"), "cid")
+    open_ = staged(open_, "open")
+    remove(shared)
+    long_ = open_.groupBy("token", "blk").agg(F.count("*").alias("c")).where(f"c > {heads}").select("token").distinct()
+    long_ = staged(long_, "long")
+    of_long = open_.join(long_, "token", "left_semi")
+    foremost = of_long.withColumn("k", F.row_number().over(Window.partitionBy("token", "blk").orderBy("pos", "cid"))).where(f"k <= {heads}").drop("k")
+    foremost = staged(foremost, "heads")
+    others = staged(of_long.join(foremost.select("token", "blk", "cid"), ["token", "blk", "cid"], "left_anti"), "others")
     release(docs.sparkSession)
-    late = sets_of(docs, id_col, text_col, size, classes, more)
-    found = staged(overlaps(rest.select("x", "y"), late).where(joinable("na", "nb", "common", percent)).select(F.col("x").alias("src"), F.col("y").alias("dst")), "found")
-    remove(late)
+    with_heads = pairs_within(open_.join(long_, "token", "left_anti").unionByName(foremost), open_, percent).union(pairs_within(others, foremost, percent))
+    found = links_of(with_heads, docs, id_col, text_col, size, percent, classes)
+    parts = connected_components(star(family).union(found))
+    for used in (open_, long_, foremost, found, family, answers):
+        remove(used)
     release(docs.sparkSession)
-    edges = family.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst")).union(found).union(pairs.where("sure").select("x", "y"))
-    parts = connected_components(edges)
 
-    named = staged(classes.select("cid", "sig", "least").join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")), "named")
+    rest = with_family(others, parts)
+    found = links_of(pairs_within(rest, rest, percent), docs, id_col, text_col, size, percent, classes)
+    joined = connected_components(star(parts).union(found))
+
+    named = staged(classes.select("cid", "sig", "least").join(joined.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")), "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_class = named.join(least, "component").select("sig", "component_id")
-    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(of_class, "sig", "left")
+    out = rows.join(named.join(least, "component").select("sig", "component_id"), "sig", "left")
     out = staged(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "components")
-    for used in (rows, classes, several, prefixes, shared, leaders, first, answers, members, open_, pairs, rest, found, family, parts, named):
+    for used in (rows, classes, others, rest, found, parts, joined, named):
         remove(used)
     return out
 

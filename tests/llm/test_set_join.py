@@ -38,6 +38,23 @@ def test_families_equal_brute_force(spark, seed, size, percent):
     assert len(set(want[1].values())) > 4  # the case isn't trivial
 
 
+def test_long_lists_go_through_heads_and_rest(spark):
+    texts = families(11, 100, words=80, edits=8)
+    assert run(spark, texts, frequent_from=10, heads=2) == jaccard_components(texts, 3, 90)
+
+
+def test_rows_without_an_id_bridge(spark):
+    words = [f"q{i}" for i in range(100)]
+    edit = lambda *at: " ".join(f"e{i}" if i in at else w for i, w in enumerate(words))
+    rows = [(1, edit(0, 99)), (None, edit(0)), (2, edit(0, 1, 2, 3)), (None, edit(0, 1, 2, 3, 4, 5)), (3, edit(50)), (None, "x y z")]
+    plain = jaccard_components(dict(enumerate(t for _, t in rows)), 3, 90)[1]
+    ids = [i for i, _ in rows]
+    want = sorted((i is None, i or 0, min((j for k, j in enumerate(ids) if plain[k] == plain[n] and j is not None), default=0)) for n, i in enumerate(ids))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.component_id or 0) for r in S.similar_sets(df).collect())
+    assert got == want and plain[0] == plain[2]
+
+
 def test_shared_passage_links_nothing(spark):
     rng = random.Random(5)
     passage = " ".join(f"p{i}" for i in range(50))
