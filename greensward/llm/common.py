@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -18,22 +19,34 @@ from pyspark.sql import functions as F
 
 class Memo(dict):
     """What a Python worker remembers between batches: bounded, and only that of the operator at work is kept, since Spark
-    reuses workers for one operator after another."""
+    reuses workers for one operator after another. Two generations: what hasn't been asked for while `most` / 2 others were is forgotten."""
 
     at_work: Memo | None = None
 
     def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        value = self[key] = self.old[key]
+        return value
+
+    def forget(self) -> int:
+        """Drop all; how much there was."""
+        n = len(self) + len(self.old)
+        self.clear()
+        self.old = {}
+        return n
 
     def take_turn(self) -> None:
-        """Before each batch: forget what other operators remembered, and everything if there is too much."""
+        """Before each batch: forget what other operators remembered, and the older generation if the younger is full."""
         if Memo.at_work is not self:
-            if Memo.at_work is not None:
-                Memo.at_work.clear()
+            if Memo.at_work is not None and Memo.at_work.forget() > 10_000:
                 give_back()
             Memo.at_work = self
-        if len(self) > self.most:
+        if len(self) > self.most // 2:
+            self.old = dict(self)
             self.clear()
 
 
@@ -70,9 +83,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset and all run in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

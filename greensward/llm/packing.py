@@ -12,9 +12,7 @@ between gaps go to the smallest gap; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -33,12 +31,18 @@ from .common import Memo, table, text_runs
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
 
+#: Texts that the library encodes whole: control characters, letters beyond Latin, and the one below whose lower case is two characters.
+OTHER = r"[\x00-\x08\x0e-\x1f\x{0130}\x{0250}-\x{10ffff}]"
+
+
 class ChunkEncoder:
-    """Token ids, as packed little-endian uint32, of whole texts by a vocabulary whose pre-tokens never hold white space.
+    """Token ids, as packed little-endian uint32, of whole texts by a vocabulary whose pre-tokens never hold white space and whose words end
+    in tokens that no word has elsewhere.
 
     For texts of Latin letters below U+0250 the normaliser is plain lower-casing and white space only separates, so
     the ids of a text are those of its chunks between white space, and those of a chunk are those of its words, which
-    are remembered. All other texts, and those that may hold strings of special tokens, go to the library whole.
+    are remembered. New words are encoded many at a time, joined by spaces, and told apart by the tokens that end words.
+    All other texts, and those that may hold strings of special tokens, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -47,10 +51,13 @@ class ChunkEncoder:
         self.path = path
         self.single = Tokenizer.from_file(path)  # for words that are normalised and split already
         self.single.normalizer = None
-        self.single.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.single.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.marks = [t.content for t in self.single.get_added_tokens_decoder().values()]
+        suffix, names = self.single.model.end_of_word_suffix, self.single.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith(suffix)]] = True
         self.split = regex.compile(WORD)
-        self.chunks = Memo(200_000)
+        self.chunks = Memo(400_000)
 
     @cached_property
     def library(self):
@@ -62,38 +69,53 @@ class ChunkEncoder:
         whole.no_padding()
         return whole
 
-    def _plain(self, text: str) -> bool:
-        if not text.isascii() and (max(text) >= "\u0250" or "\u0130" in text):
-            return False
-        return re.search("[\x00-\x08\x0e-\x1f]", text) is None and not any(m in text for m in self.marks)
-
     def _by_library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for k in range(0, len(words), 4000):  # the library's results are large
+            part = words[k : k + 4000]
+            made = self.single.encode_batch_fast([" ".join(part[i : i + 400]) for i in range(0, len(part), 400)], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in made])
+            stop = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(stop) != len(part):
+                raise ValueError(f"{self.path}: words don't end in tokens of their own")
+            raw = ids.tobytes()
+            out += [raw[i:j] for i, j in zip([0, *stop[:-1].tolist()], stop.tolist())]
+        return out
+
+    def _ids_of(self, chunks: list[str]) -> list[bytes]:
         known = self.chunks
         known.take_turn()
+        ids = list(map(known.get, chunks))
         words, compound = [], {}
-        for c in chunks:
-            if c not in known:
-                if c.isalpha():
+        for i, found in enumerate(ids):
+            if found is None:
+                c = chunks[i]
+                if c in known.old:
+                    ids[i] = known[c]
+                elif c.isalpha():
                     words.append(c)
                 else:
-                    compound[c] = [c[:-1], c[-1]] if c[:-1].isalpha() and c[-1] in ".,;:!?" else self.split.findall(c)
-        words += {w for parts in compound.values() for w in parts if w not in known} - set(words)
-        for k in range(0, len(words), 4000):  # the library's results are large
-            part = words[k : k + 4000]
-            known.update(zip(part, (array("I", e.ids).tobytes() for e in self.single.encode_batch_fast(part, add_special_tokens=False))))
-        for c, parts in compound.items():
-            known[c] = b"".join([known[w] for w in parts])
+                    compound[c] = self.split.findall(c)
+        parts = {w for found in compound.values() for w in found if known.get(w) is None and w not in known.old}
+        words += parts.difference(words)
+        known.update(zip(words, self._encoded(words)))
+        for c, found in compound.items():
+            known[c] = b"".join([known[w] for w in found])
+        return [known[c] if x is None else x for c, x in zip(chunks, ids)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [self._plain(t) for t in texts]
-        parted = pc.utf8_split_whitespace(pa.array([t.lower() if p else "" for t, p in zip(texts, plain)], pa.large_string()))
+        whole = pa.array(texts, pa.large_string())
+        plain = pc.invert(pc.match_substring_regex(whole, OTHER)).to_numpy(zero_copy_only=False)
+        plain &= np.array([not any(m in t for m in self.marks) for t in texts], bool)
+        lower = pc.if_else(pa.array(plain), pc.utf8_lower(whole), "")
+        # A mark after a letter and before white space is a word of its own anyway; apart from the letters there are fewer different chunks.
+        parted = pc.utf8_split_whitespace(pc.replace_substring_regex(lower, r"(\pL)([.,;:!?])(\s|\z)", r"\1 \2\3"))
         coded = parted.values.dictionary_encode()
-        unique, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        self._learn(unique)
-        ids = [self.chunks[c] for c in unique]
+        at = coded.indices.to_numpy()
+        ids = self._ids_of(coded.dictionary.to_pylist())
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         start = np.cumsum(size) - size
         flat, sizes = np.frombuffer(b"".join(ids), "<u4"), size[at]
@@ -101,7 +123,7 @@ class ChunkEncoder:
         all_ids = flat[np.repeat(start[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
         bounds = np.concatenate(([0], ends))[parted.offsets.to_numpy()]
         out = [all_ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-        rest = [i for i, p in enumerate(plain) if not p]
+        rest = np.flatnonzero(~plain).tolist()
         for i, own in zip(rest, self._by_library([texts[i] for i in rest]) if rest else []):
             out[i] = own
         return out
