@@ -110,10 +110,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("v")).withColumn("v", F.expr(f"CASE WHEN {valid('v')} THEN v END"))
     classes = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
     classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    dims = {d: n for d, n in classes.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).limit(10_000).collect()}  # one row per length of vector
     element = {"float": np.float32}.get(classes.schema["v"].dataType.elementType.simpleString(), np.float64)
-    per_dim = F.create_map(*[F.lit(x) for d, n in dims.items() for x in (d, max(1, -(-n * d * np.dtype(element).itemsize // tile_bytes)))]) if dims else F.create_map(F.lit(0), F.lit(1))
-    dealt = classes.withColumn("d", F.size("v")).withColumn("t", per_dim[F.col("d")]).withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("t")).cast("int"))
+    classes_d = classes.withColumn("d", F.size("v"))
+    tiles_of = classes_d.groupBy("d").agg(F.expr(f"CAST(greatest(1, ceil(count(*) * d * {np.dtype(element).itemsize} / {tile_bytes})) AS int)").alias("t"))  # a row per length of vector
+    dealt = classes_d.join(tiles_of, "d").withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("t")).cast("int"))
 
     def blob(frame: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(frame["v"].to_numpy()).astype(element)
