@@ -189,12 +189,15 @@ def records(path: str) -> Iterator[tuple[int, Record]]:
 
 
 def with_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least: int) -> DataFrame:
-    """(page_id, url, payload, refers_to); refers_to is null for responses."""
+    """(page_id, url, payload, refers_to); refers_to is null for responses. Groups of equal payloads are found by (digest, page_id) rows; payloads
+    are dealt by page and digest, so a payload that very many pages share doesn't meet in one task."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).cast("binary").alias("payload"))
     large = rows.where(F.octet_length("payload") >= least)
     first = large.groupBy(F.sha1("payload").alias("digest")).agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    keyed = rows.withColumn("digest", F.expr(f"CASE WHEN octet_length(payload) >= {least} THEN sha1(payload) ELSE concat('-', coalesce(page_id, 0), '-', xxhash64(payload)) END"))
-    return keyed.join(first, "digest", "left").select("page_id", "url", "payload", F.expr("CASE WHEN page_id <=> first THEN NULL ELSE first END").alias("refers_to"))
+    refers = large.select("page_id", F.sha1("payload").alias("digest")).join(first, "digest").where("NOT page_id <=> first")
+    refers = refers.select(F.col("page_id").alias("of_page"), F.col("digest").alias("of_digest"), "first").distinct()
+    keyed = rows.withColumn("digest", F.expr(f"CASE WHEN octet_length(payload) >= {least} THEN sha1(payload) END"))
+    return keyed.join(refers, F.expr("page_id <=> of_page AND digest = of_digest"), "left").select("page_id", "url", "payload", F.col("first").alias("refers_to"))
 
 
 def write_archives(rows: DataFrame, folder: str, roll_bytes: int = 32_000_000) -> DataFrame:
