@@ -8,13 +8,16 @@ items) are never deleted as a template: many pages may quote the same passage.
 
 Text: character references decoded, white space inside a block one space, trimmed, blocks in page order joined by one
 newline. Defined results: null and empty pages, and pages without text, give an empty string; pages without a url
-share one host; tags that are cut off at the end are dropped; repeated rows are counted and returned each.
+share one host; tags, comments and quotes that nothing closes reach to the end of the page and are dropped with it; repeated rows are counted and
+returned each. Pages are parsed in time linear in their length, however malformed.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,8 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import staged, table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[a-zA-Z/!?][^<]*\Z", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: A comment; a tag with its attributes, where only a quote right after = opens a quoted value; or a declaration. Each part is taken once and
+#: never given back, so a page is read in one pass; what isn't closed ends with the page.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+)|[^=>]++)*+)(>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
+TOLD = re.compile(r"class|id|role|hidden|style", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s]*+))?""")
+KEYS = frozenset("class id role hidden style aria-hidden".split())
 CHROME = re.compile(
     r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-?bar|footer|masthead|site-?header|page-?header|ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*"
     r"|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|sign-up|share|sharing|social|related|recommend\w*|read-?more|comments?|commentlist|respond|replies|reply|disqus"
@@ -41,6 +48,9 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split()
 )
 ENDS_P = BLOCK - {"body", "html", "legend", "summary", "caption", "tbody", "tfoot", "thead", "tr"}
+BREAKS_P = BLOCK - {"p"} | {"td", "th", "button"}  # an open p outside one of these isn't ended by what stands in it
+WALLS = frozenset("article td th table".split())  # an end tag doesn't reach out of these, unless it is one of the next
+THROUGH_WALLS = frozenset("article main body html table tr section div".split())
 #: A start tag of the first ends an open element of the second, unless one of the third stands between.
 SIBLINGS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -70,41 +80,50 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack, at, tag = [0], 0, self.tag
+        places: dict[str, list[int]] = defaultdict(list)  # of open elements: by name, where they are in the stack
+        walls: list[int] = []  # of WALLS
+        blocks: list[int] = []  # of BREAKS_P
+
+        def close(k: int) -> None:
+            """Take all from place k on off the stack."""
+            while len(stack) > k:
+                name = tag[stack.pop()]
+                places[name].pop()
+                if name in WALLS:
+                    walls.pop()
+                if name in BREAKS_P:
+                    blocks.pop()
+
+        last = lambda name: places[name][-1] if places.get(name) else 0
         find = TOKEN.search
         while m := find(source, at):
             if m.start() > at:
                 self._text(stack[-1], source[at : m.start()])
             at = m.end()
-            if not m[2]:
+            if not m[2] or not m[4]:
                 continue
             name = m[2].lower()
             if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if tag[stack[k]] == name:
-                        del stack[k:]
-                        break
-                    if tag[stack[k]] in ("article", "td", "th", "table") and name not in ("article", "main", "body", "html", "table", "tr", "section", "div"):
-                        break
+                k = last(name)
+                if k and (name in THROUGH_WALLS or not walls or k >= walls[-1]):
+                    close(k)
                 continue
-            if name in ENDS_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if tag[stack[k]] == "p":
-                        del stack[k:]
-                        break
-                    if tag[stack[k]] in BLOCK or tag[stack[k]] in ("td", "th", "button"):
-                        break
+            if name in ENDS_P and last("p") > (blocks[-1] if blocks else 0):
+                close(last("p"))
             if name in SIBLINGS:
                 ended, within = SIBLINGS[name]
-                for k in range(len(stack) - 1, 0, -1):
-                    if tag[stack[k]] in within:
-                        break
-                    if tag[stack[k]] in ended:
-                        del stack[k:]
+                outer = max(map(last, within))
+                inner = [held[k] for held in (places[e] for e in ended if e in places) if (k := bisect(held, outer)) < len(held)]
+                if inner:
+                    close(min(inner))
             node = len(tag)
             marks, hidden, role = "", False, ""
-            if len(m[3]) > 2:
+            if len(m[3]) > 2 and TOLD.search(m[3]):
                 for key, value in ATTRIBUTE.findall(m[3]):
-                    key, value = key.lower(), value.strip("\"'")
+                    key = key.lower()
+                    if key not in KEYS:
+                        continue
+                    value = value.strip("\"'")
                     if key in ("class", "id"):
                         marks += " " + value
                     elif key == "role":
@@ -113,12 +132,11 @@ class Page:
                         hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
                     else:
                         hidden |= key == "hidden" or value.lower() == "true"
-            within_article = any(tag[s] == "article" for s in stack) if name == "header" else False
             tag.append(name)
             self.parent.append(stack[-1])
             self.marks.append(marks)
             named = bool(marks) and name not in ("article", "main", "body", "html") and CHROME.search(marks) is not None
-            self.off.append(hidden or name in OFF or role in OFF_ROLES or named or (name == "header" and not within_article))
+            self.off.append(hidden or name in OFF or role in OFF_ROLES or named or (name == "header" and not last("article")))
             self.items.append((node, -1))
             if name in VOID:
                 continue
@@ -127,6 +145,11 @@ class Page:
                 self._text(node, source[at : end.start() if end else len(source)])
                 at = end.end() if end else len(source)
             elif not m[3].endswith("/"):
+                places[name].append(len(stack))
+                if name in WALLS:
+                    walls.append(len(stack))
+                if name in BREAKS_P:
+                    blocks.append(len(stack))
                 stack.append(node)
         self._text(stack[-1], source[at:])
 
@@ -161,14 +184,16 @@ class Page:
         article = self.inside("article")
         return sorted({h for i, h in enumerate(self.subtree_hashes()) if h and self.tag[i] not in ("html", "body", "head") and not (article[i] and self.tag[i] in PROSE)})
 
-    def main_text(self, template: set[int]) -> str:
+    def main_text(self, template: set[int], marked: bool = True) -> str:
+        """Text of what is left without templates and, if `marked`, without what tags, classes and roles mark as no main text."""
         n = len(self.tag)
+        off = self.off if marked else [t in RAW or t == "head" for t in self.tag]
         article, main = self.inside("article"), self.inside("main")
         hashes = self.subtree_hashes() if template else [0] * n
         gone = [False] * n
         for i in range(1, n):
             prose = article[i] and self.tag[i] in PROSE
-            gone[i] = gone[self.parent[i]] or self.off[i] or (hashes[i] in template and not prose)
+            gone[i] = gone[self.parent[i]] or off[i] or (hashes[i] in template and not prose)
         region = next((r for r in (article, main) if any(a and not g for a, g in zip(r, gone))), [True] * n)
         blocks, line = [], []
         block_of, last = [0] * n, 0
@@ -205,8 +230,8 @@ def page_templates(rows: DataFrame, least_pages: int) -> DataFrame:
     return seen.join(templates, ["host", "h"]).groupBy("k1", "k2").agg(F.collect_set("h").alias("template"))
 
 
-def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 8) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page."""
+def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 8, marked: bool = True) -> DataFrame:
+    """(page_id, url, text, n_chars) of every page; marked: tags, classes and roles that mark chrome count besides templates."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), F.expr(HOST.format(url_col)).alias("host"))
     rows = rows.select("*", F.xxhash64("host", "html").alias("k1"), F.hash("host", "html").alias("k2"))  # pages of a host with the same source share their templates
     joined = rows.join(page_templates(rows, least_pages), ["k1", "k2"], "left").select("page_id", "url", "html", "template")
@@ -214,7 +239,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sources, templates = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            texts = [Page(h).main_text(set(t or ())) if h else "" for h, t in zip(sources, templates)]
+            texts = [Page(h).main_text(set(t or ()), marked) if h else "" for h, t in zip(sources, templates)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()

@@ -3,9 +3,12 @@
 import hashlib
 import html as H
 import io
+import random
 import re
 import struct
+import time
 import zipfile
+from collections import Counter
 
 import pytest
 
@@ -38,6 +41,9 @@ SF = "/root/testdata/sf0.001"
         ("<!-- <article>no</article> --><p>a</p>tail<!-- open", "a\ntail"),
         ("<div>" * 3000 + "deep", "deep"),
         ("<p>1 < 2 &nbsp; x</p>", "1 < 2 x"),
+        ("<p title=it's>Hello</p><p>and don't stop</p><p>end</p>", "Hello\nand don't stop\nend"),
+        ("<p title='a > b' data-x=\"</p>\" id=x>one</p><p class = \"ad\">no</p><p title=class=ad>two", "one\ntwo"),
+        ("<p>a</b></p></i><table><tr><td><b>x</p>y</table>z", "a\nxy\nz"),
     ],
 )
 def test_main_text(source, text):
@@ -55,6 +61,27 @@ def test_what_a_site_repeats_is_removed(spark):
     assert X.main_texts(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("source", ["<a x ", "</b>", "<p x=\"", "<!x ", "<a b='", "<p><table><b></p>", "<div></p>"])
+def test_malformed_pages_take_linear_time(source):
+    began = time.process_time()
+    X.Page("<p>ok</p>" + source * (1_000_000 // len(source))).main_text(set())
+    assert time.process_time() - began < 8  # a MB; some 2 s on a quiet machine
+
+
+def test_templates_alone_give_the_text_and_equal_a_plain_count(spark):
+    def page(host, i):
+        return f"<div><div>Start of {host}</div><div><p>Text {i} of {host}</p><p>More of it {i * 7}</p></div><div>Call <b>{host}</b> now</div></div>"
+
+    pages = [(i, f"http://{h}/{i}", page(h, i)) for h in ("a.org", "b.org") for i in range(9)] + [(50 + i, f"http://c.org/{i}", page("c.org", i)) for i in range(7)]
+    got = {(r.url): r.text for r in X.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3), marked=False).collect()}
+    seen = Counter((u.split("/")[2], h) for _, u, source in pages for h in X.Page(source).repeatable())
+    for _, u, source in pages:
+        host, i = u.split("/")[2], u.split("/")[3]
+        assert got[u] == X.Page(source).main_text({h for (s, h), n in seen.items() if s == host and n >= 8}, marked=False)
+        own = f"Text {i} of {host}\nMore of it {int(i) * 7}"
+        assert got[u] == (own if host != "c.org" else f"Start of {host}\n{own}\nCall {host} now")
+
+
 def test_query_equals_articles_by_pattern(spark):
     def plain(source):
         article = re.search(r"<article>(.*?)</article>", source, re.S)[1]
@@ -170,6 +197,24 @@ def test_distrust_flows_against_links(spark):
     assert got[5].distrust == pytest.approx(0.85 * got[2].distrust)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_trust_and_distrust_equal_a_dense_power_iteration(spark, seed):
+    rng = random.Random(seed)
+    hosts = [f"h{i}.{rng.choice(('net', 'org', 'com'))}" for i in range(12)]
+    links = {h: [rng.choice(hosts) for _ in range(rng.randrange(5))] for h in hosts}
+    pages = [(i, f"http://{h}/fr/x", "".join(f'<a href="http://{t}/">x</a>' for t in links[h])) for i, h in enumerate(hosts)]
+    got = {r.host: r for r in U.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), U.RULES, distrust_by="target").collect()}
+    n = {(h, t): 1 for h in hosts for t in set(links[h]) if t != h}
+    for column, ending, back in (("trust", "org", False), ("distrust", "net", True)):
+        edges = {(b, a) if back else (a, b) for a, b in n}
+        start = {h: float(h.endswith("." + ending)) for h in hosts}
+        value = {h: 0.15 * start[h] for h in hosts}
+        for _ in range(200):
+            value = {h: 0.15 * start[h] + 0.85 * sum(value[a] / sum(x == a for x, _ in edges) for a, b in edges if b == h) for h in hosts}
+        for h in hosts:
+            assert got[h][column] == pytest.approx(value[h], abs=2e-5)
+
+
 def test_verdict_query_keeps_rules(spark):
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = QUERIES["op8_url_filter"](spark, SF).collect()
