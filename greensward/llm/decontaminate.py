@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, table, text_runs, with_columns_renamed_apart
@@ -169,11 +169,13 @@ words_of = Words()
 
 
 def contamination(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = 4, threshold: float = 0.6, block_items: int = 20_000
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: int = 4, threshold: float = 0.6,
+    block_items: int = 20_000, block_bytes: int = 64_000_000,
 ) -> DataFrame:
     """docs with contaminated, coverage, item_id (of the item covered most) and n_tiles; columns of these names are replaced.
 
-    The benchmark is read in blocks of at most block_items distinct items, ordered by id and text; each block is a pass over the documents' words.
+    The benchmark is read in blocks of at most block_items distinct items and, but for the first of a block, block_bytes of text, ordered by id
+    and text; each block is a pass over the documents' words.
     """
     added = ["contaminated", "coverage", "item_id", "n_tiles"]
     docs = with_columns_renamed_apart(docs, added)
@@ -184,7 +186,11 @@ def contamination(
     out, last = None, None
     while True:
         after = items if last is None else items.where((F.col("i") > last.i) | ((F.col("i") == last.i) & (F.col("t") > last.t)))
-        rows = after.orderBy("i", "t").limit(block_items).collect()  # a bounded block
+        next_ = after.orderBy("i", "t").limit(block_items)
+        so_far = Window.orderBy("i", "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sized = next_.withColumn("bytes", F.sum(F.octet_length("t")).over(so_far)).withColumn("place", F.row_number().over(Window.orderBy("i", "t")))
+        found = sized.withColumn("n", F.count("*").over(Window.partitionBy())).where(f"bytes <= {block_bytes} OR place = 1")
+        rows = sorted(found.collect(), key=lambda r: (r.i, r.t))  # a bounded block
         if out is not None and not rows:
             return out
         shared = docs.sparkSession.sparkContext.broadcast(Block([r.i for r in rows], [r.t for r in rows], least))
@@ -201,7 +207,7 @@ def contamination(
 
         out = (docs if first else out).mapInArrow(judge, schema)
         last = rows[-1] if rows else None
-        if len(rows) < block_items:
+        if not rows or len(rows) == rows[0].n < block_items:
             return out
 
 

@@ -182,3 +182,11 @@ def test_items_of_one_id_are_all_read(spark):
     for block in (1, 2, 3):
         got = {r.doc_id: (r.contaminated, r.item_id) for r in D.contamination(docs, bench, block_items=block).collect()}
         assert got == {**dict.fromkeys(range(4), (True, 1)), 4: (True, 2), 5: (False, None)}
+
+
+def test_blocks_are_bounded_in_bytes(spark):
+    items = spark.createDataFrame([(i, f"item {i} has words of its own like w{i} and v{i}") for i in range(7)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"before item {i} has words of its own like w{i} and v{i} after") for i in range(8)], "doc_id long, text string")
+    for most in (1, 100, 10**6):
+        got = {r.doc_id: (r.contaminated, r.item_id) for r in D.contamination(docs, items, block_bytes=most).collect()}
+        assert {i: got[i] for i in range(7)} == {i: (True, i) for i in range(7)} and not (got[7][0] and got[7][1] == 7)
