@@ -45,6 +45,9 @@ class RankMerger:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        split = spec.get("pre_tokenizer") or {}
+        if spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            raise ValueError(f"{path}: SPLIT holds for byte-level vocabularies without a normaliser or pattern of their own")
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.first = np.zeros(256, np.int64)
