@@ -617,9 +617,12 @@ def tree_relocate(spark, d):
 
     w = W.partitionBy("path").orderBy("i")
     seg = A.paths(spark, d).select("path", F.col("x").alias("x1"), F.col("z").alias("z1"), F.lead("x").over(w).alias("x2"), F.lead("z").over(w).alias("z2")).where("x2 IS NOT NULL")
-    return OB.relocated(A.trees(spark, d), seg, rounds=3)
+    return OB.relocated(A.trees(spark, d), seg)
 
 
 @query("cluster_pack")
 def cluster_pack(spark, d):
     return RA.packed_circles(A.polygons(spark, d), 8.0)
+
+
+from . import placement  # noqa: E402, F401  adds its queries
