@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .fitting import cut
 from .grid import Grid, sample_mean
 from .spatial import in_polygons, nearest_segment
 
@@ -70,12 +71,12 @@ def relocated(trees: DataFrame, segments: DataFrame, keepout: float = 2.85, marg
         push = (keepout + margin) * side
         joined = now.join(near.select("tree", "seg"), "tree", "left")
         hit = F.col("seg").isNotNull() & (length > 0)
-        now = joined.select(
+        now = cut(joined.select(
             "tree",
             F.when(hit, F.col("seg.x1") + t * dx + nx * push).otherwise(F.col("x")).alias("x"),
             F.when(hit, F.col("seg.z1") + t * dz + nz * push).otherwise(F.col("z")).alias("z"),
             (F.col("moved") + F.when(hit, 1).otherwise(0)).alias("moved"),
-        )
+        ))
     return now
 
 
