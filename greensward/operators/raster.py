@@ -26,10 +26,11 @@ def relaxed_once(raster: DataFrame) -> DataFrame:
     return raster.withColumn("h", F.when(F.col("known"), F.col("h")).otherwise((near[2] + near[3] + near[0] + near[1]) / 4))
 
 
-def local_variation(raster: DataFrame, grid: Grid, k: int) -> DataFrame:
-    """(row, col, v): standard deviation in a square of 2 k + 1 cells, edges repeated, missing cells at the global mean; rows then columns."""
+def local_variation(raster: DataFrame, grid: Grid, k: int, centred: bool = False) -> DataFrame:
+    """(row, col, v): standard deviation in a square of 2 k + 1 cells, edges repeated, missing cells at the global mean; rows then columns.
+    If `centred`, heights are taken from that mean, so that squares of large heights don't cancel where the ground is flat."""
     mean = raster.agg(F.avg("h").alias("m"))
-    dense = grid.cells(raster.sparkSession).join(raster.select("row", "col", "h"), ["row", "col"], "left").crossJoin(F.broadcast(mean)).select("row", "col", F.coalesce("h", "m").alias("h"))
+    dense = grid.cells(raster.sparkSession).join(raster.select("row", "col", "h"), ["row", "col"], "left").crossJoin(F.broadcast(mean)).select("row", "col", (F.coalesce("h", "m") - (F.col("m") if centred else 0.0)).alias("h"))
     out = dense.select("row", "col", F.col("h").alias("s"), (F.col("h") * F.col("h")).alias("q"))
     for axis, other, n in (("col", "row", grid.cols), ("row", "col", grid.rows)):
         i = F.col(axis)

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from ..operators import fitting as FI
 from ..operators import objects as OB
 from ..operators import placement as PL
+from ..operators import raster as RA
 from ..operators import stamps as ST
 from ..sources import adapters as A
 from . import catalog as C
@@ -169,3 +170,8 @@ def tree_clear(spark, d):
     """No SQL: rounds depend on where trees stand after the last; a test holds it against a plain version."""
     holes = A.holes(spark, d).where("size(pts) > 1").select(F.element_at("pts", -1).alias("p")).select("p.x", "p.z").distinct()
     return FI.moved_clear(A.trees(spark, d), segments(spark, d), holes)
+
+
+@C.query("local_variation_centred", f"WITH {C.VARIATION.replace('coalesce(h, m) AS h', 'coalesce(h, m) - m AS h')} SELECT row, col, round(v, 5) AS v FROM v")
+def local_variation_centred(spark, d):
+    return RA.local_variation(C.ground(spark, d), C.GRID, 2, centred=True).select("row", "col", C.r6("v", 5).alias("v"))
