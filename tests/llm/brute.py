@@ -32,3 +32,29 @@ def jaccard_components(texts, size, percent):
     sets = {k: shingle_set(t, size) for k, t in texts.items()}
     links = [(a, b) for a, b in combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
     return {k: len(s) for k, s in sets.items()}, components(sets, links)
+
+
+def tile_coverage(item, text, least):
+    """Share of the item's words under tiles of the text, the longest free match marked first, by comparing words."""
+    a, b = ((t or "").encode().lower().split() for t in (item, text))
+    if not a:
+        return 0.0
+    least = min(least, len(a))
+    starts = {}
+    for j in range(len(b) - least + 1):
+        starts.setdefault(tuple(b[j : j + least]), []).append(j)
+    free_a, free_b, covered = [True] * len(a), [True] * len(b), 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(a) - least + 1):
+            for j in starts.get(tuple(a[i : i + least]), ()):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and free_a[i + n] and free_b[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < least:
+            return covered / len(a)
+        free_a[i : i + n], free_b[j : j + n] = [False] * n, [False] * n
+        covered += n

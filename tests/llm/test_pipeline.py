@@ -1,9 +1,12 @@
+from types import SimpleNamespace
+
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 
-from .brute import jaccard_components
+from .brute import jaccard_components, tile_coverage
+from .test_texts import check_packing
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,8 +28,12 @@ def test_stages_in_order(spark):
         if name == "near_duplicates":
             parts = jaccard_components({i: r.text for i, r in before.items()}, 5, 80)[1]
             assert set(after) == set(parts.values())
-    packed = C.packing(spark, kept, SF)
-    assert packed.select("doc_id").distinct().count() == kept.count()
+        if name == "decontamination":
+            items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if r.text]
+            assert set(after) == {i for i, r in before.items() if all(tile_coverage(x, r.text, 4) < 0.6 for x in items)}
+    place = {i: k for k, i in enumerate(sorted(after))}
+    packed = [SimpleNamespace(**r.asDict() | {"doc_id": place[r.doc_id]}) for r in C.packing(spark, kept, SF).collect()]
+    check_packing(packed, [after[i].text for i in sorted(after)])
 
 
 def test_run_is_the_stages(spark):
