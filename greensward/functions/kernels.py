@@ -354,6 +354,19 @@ def poisson_pack(mask: np.ndarray, cell: float, radii: list[float], plateau: flo
     return out, left
 
 
+def enough_candidates(mask: np.ndarray, cell: float, radii: list[float], plateau: float, edge: float, initial: int, most: int, gain: float, seed: int) -> int:
+    """The number of candidates, doubled from initial up to most, at which packing leaves no longer clearly less of mask: a doubling takes away
+    a share of gain or less of what was left before. Where nothing fits the first number stands; nothing left doesn't end the search."""
+    n, before = initial, 0.0
+    while n <= most:
+        discs, left = poisson_pack(mask, cell, radii, plateau, edge, n, seed)
+        bare = float(left.sum())
+        if not discs or before and before - bare <= gain * before:
+            return n
+        n, before = 2 * n, bare
+    return most
+
+
 def cover(mask: np.ndarray, r: int, c: int, reach: float) -> None:
     """Clear the disc of this reach in cells."""
     k = int(reach)
@@ -419,20 +432,38 @@ def pack_circles(ring: np.ndarray, radius: float, ratio: float, seed: int, failu
     return out
 
 
-def scatter(h: np.ndarray, cell: float, radius: float, jitter: float = 0.5, share: float = 1.0, failures: int = 300, brushes: int = 4, spread: float = 1.0, least: int = 3, seed: int = 1) -> list[tuple[float, float, float, float, int]]:
+def density_sums(h: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """Running sums, row by row, of how many stamps of the radius wanted there a cell takes: 1 / r^2 where there is data, else none."""
+    wanted = np.where(np.isnan(radii), np.inf, np.maximum(radii, 1e-6))
+    return np.cumsum(np.where(np.isnan(h), 0.0, 1.0 / wanted**2))
+
+
+def drawn_cell(sums: np.ndarray, cols: int, rng: np.random.Generator) -> tuple[int, int]:
+    """(row, col) of a cell, each as likely as its share of the sums' total."""
+    return divmod(int(min(np.searchsorted(sums, rng.uniform(0, sums[-1]), side="right"), np.searchsorted(sums, sums[-1]))), cols)
+
+
+def scatter(h: np.ndarray, cell: float, radius: float, jitter: float = 0.5, share: float = 1.0, failures: int = 300, brushes: int = 4, spread: float = 1.0, least: int = 3, seed: int = 1, radii: np.ndarray | None = None, density: bool = False, subpixel: float = 0.5) -> list[tuple[float, float, float, float, int]]:
     """(x, z, radius, value, rank of the brush) of stamps thrown at random sites with data, whose claims, share times the radius, don't
     overlap. The value is the mean of at least so many cells in the claim; the placed radius grows by spread with the rank. Ends
-    after so many misses in a row."""
+    after so many misses in a row. With radii the radius is that of the site's cell instead of a random one. With density cells are drawn by
+    the number of stamps they want, and sites lie up to subpixel cells from their centres."""
     rng, out, discs = np.random.default_rng(seed), [], Discs(max(cell, radius * share))
     rows, cols = h.shape
-    missed = 0
+    sums = density_sums(h, np.full(h.shape, radius) if radii is None else radii) if density else None
+    missed = 0 if sums is None or (sums.size and sums[-1] > 0) else failures
     while missed < failures:
-        x, z = rng.uniform(0, cols * cell), rng.uniform(0, rows * cell)
-        r = radius * rng.uniform(jitter, 1.0)
+        if sums is None:
+            x, z = rng.uniform(0, cols * cell), rng.uniform(0, rows * cell)
+            at = min(int(z / cell), rows - 1), min(int(x / cell), cols - 1)
+        else:
+            at = drawn_cell(sums, cols, rng)
+            z, x = (min(max((i + 0.5 + rng.uniform(-subpixel, subpixel)) * cell, 0.0), n * cell) for i, n in zip(at, h.shape))
+        r = radius * rng.uniform(jitter, 1.0) if radii is None else float(radii[at])
         rank = int(rng.integers(brushes))
         claim = r * share
         missed += 1
-        if np.isnan(h[min(int(z / cell), rows - 1), min(int(x / cell), cols - 1)]) or not discs.free(x, z, claim):
+        if np.isnan(h[at]) or np.isnan(r) or not discs.free(x, z, claim):
             continue
         k = int(claim / cell) + 1
         r0, c0 = int(z / cell), int(x / cell)

@@ -123,6 +123,31 @@ def contour_stamps(banded: DataFrame, grid: Grid, largest: float = 50.0, smalles
     return banded.groupBy("band").applyInPandas(run, "band int, pass int, idx int, x double, z double, radius double, value double")
 
 
+def candidate_trials(banded: DataFrame, grid: Grid, bands: int = 3, seeds: int = 2, initial: int = 250, most: int = 16000, gain: float = 0.1, largest: float = 50.0, smallest: float = 10.0, ratio: float = 0.85, plateau: float = 0.5, seed: int = 1, denoise: int = 1, edge: float = 0.0) -> DataFrame:
+    """(band, seed, candidates): how many candidates contour_stamps needs in each of some bands, evenly spread over them, for several seeds.
+    Each trial starts from initial on its own, so all run side by side; a limit of numbers, not of time, keeps results the same. Bands without cells have no trial."""
+    radii = G.tier_radii(largest, smallest, ratio)
+    top = banded.agg(F.max("band")).first()[0]  # one number
+    n = 0 if top is None else top + 1
+    chosen = sorted({round(float(p)) for p in np.linspace(0, n - 1, min(bands, n))})
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        band, k = int(frame["band"].iloc[0]), int(frame["seed"].iloc[0])
+        mask = np.zeros((grid.rows, grid.cols), bool)
+        mask[frame["row"], frame["col"]] = True
+        mask = K.denoised(mask, denoise)
+        found = [(band, k, K.enough_candidates(mask, grid.cell_x, radii, plateau, edge, initial, most, gain, k))] if mask.any() else []
+        return pd.DataFrame(found, columns=["band", "seed", "candidates"])
+
+    tried = banded.where(F.col("h").isNotNull() & F.col("band").isin(chosen)).select("band", "row", "col", F.explode(F.sequence(F.lit(seed), F.lit(seed + seeds - 1))).alias("seed"))
+    return tried.groupBy("band", "seed").applyInPandas(run, "band int, seed int, candidates int")
+
+
+def tuned_candidates(trials: DataFrame, initial: int = 250) -> DataFrame:
+    """(candidates): one number that suits all trials, the largest; initial without any."""
+    return trials.agg(F.coalesce(F.max("candidates"), F.lit(initial)).alias("candidates"))
+
+
 def rectangles(raster: DataFrame, grid: Grid, key: str = "raster", least: int = 2, most: int = 10_000) -> DataFrame:
     """(key, idx, row, col, rows, cols): largest all-data rectangles, one after the other, until none has least cells a side."""
 
@@ -183,14 +208,24 @@ def packed_circles(polygons: DataFrame, radius: float, ratio: float = 1.0, seed:
     return polygons.select(key, "ring").mapInPandas(run, f"{key} {kind}, idx int, x double, z double, radius double")
 
 
-def scattered(raster: DataFrame, grid: Grid, radius: float, key: str = "raster", seed: int = 1, **more: float) -> DataFrame:
-    """(key, idx, x, z, radius, value, rank) of stamps thrown over each raster; the same for the same seed."""
+def scattered(raster: DataFrame, grid: Grid, radius: float, key: str = "raster", seed: int = 1, radii: DataFrame | None = None, **more: float) -> DataFrame:
+    """(key, idx, x, z, radius, value, rank) of stamps thrown over each raster; the same for the same seed. radii (key, row, col, radius) says
+    how large they are where; sites without any get no stamps."""
+    kind, has_radii = raster.schema[key].dataType.simpleString(), radii is not None
+    sized = raster.select(key, "row", "col", "h")
+    if radii is not None:
+        sized = sized.join(radii.select(key, "row", "col", "radius"), [key, "row", "col"], "left")
 
-    def run(h: np.ndarray) -> pd.DataFrame:
-        rows = [(i, grid.min_x + x, grid.min_z + z, r, v, k) for i, (x, z, r, v, k) in enumerate(K.scatter(h, grid.cell_x, radius, seed=seed, **more))]
-        return pd.DataFrame(rows, columns=["idx", "x", "z", "radius", "value", "rank"])
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        h, wanted = np.full((2, grid.rows, grid.cols), np.nan)
+        h[frame["row"], frame["col"]] = frame["h"].to_numpy(float, na_value=np.nan)
+        if has_radii:
+            wanted[frame["row"], frame["col"]] = frame["radius"].to_numpy(float, na_value=np.nan)
+        thrown = K.scatter(h, grid.cell_x, radius, seed=seed, radii=wanted if has_radii else None, **more)
+        rows = [(frame[key].iloc[0], i, grid.min_x + x, grid.min_z + z, r, v, k) for i, (x, z, r, v, k) in enumerate(thrown)]
+        return pd.DataFrame(rows, columns=[key, "idx", "x", "z", "radius", "value", "rank"])
 
-    return per_raster(raster, key, grid, run, "idx int, x double, z double, radius double, value double, rank int")
+    return sized.groupBy(key).applyInPandas(run, f"{key} {kind}, idx int, x double, z double, radius double, value double, rank int")
 
 
 def hotspots(actual: DataFrame, predicted: DataFrame, grid: Grid, smallest: float, largest: float, key: str = "raster", **more: float) -> DataFrame:

@@ -625,4 +625,4 @@ def cluster_pack(spark, d):
     return RA.packed_circles(A.polygons(spark, d), 8.0)
 
 
-from . import placement  # noqa: E402, F401  adds its queries
+from . import compositing, placement  # noqa: E402, F401  add their queries

@@ -47,6 +47,14 @@ def brush_profiles(spark: SparkSession) -> DataFrame:
     return rows.select("brush", "shape", F.expr("transform(sequence(0, 255), i -> least(1.0D, (1 - i / 255.0D) / (1 - plateau)))").alias("w"))
 
 
+def brush_images(spark: SparkSession) -> DataFrame:
+    """(brush, side, pixels, offset_x, offset_z): round images of 16 x 16 pixels with the profiles' plateaus; one is off the middle."""
+    rows = spark.createDataFrame(list(BRUSHES), "brush int, shape string, plateau double")
+    level = "floor(255 * greatest(0.0D, least(1.0D, (1 - sqrt((i div 16 - 7.5D) * (i div 16 - 7.5D) + (i % 16 - 7.5D) * (i % 16 - 7.5D)) / 8) / (1 - plateau))))"
+    off = lambda share: F.when(F.col("brush") == 54, share).otherwise(0.0)
+    return rows.select("brush", F.lit(16).alias("side"), F.expr(f"transform(sequence(0, 255), i -> CAST({level} AS double))").alias("pixels"), off(0.0625).alias("offset_x"), off(-0.03125).alias("offset_z"))
+
+
 def way_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(osm_id, tags): a map of tags that reaches every branch of the way classifier."""
     golf = ["green", "tee", "bunker", "fairway", "driving_range", "rough", "water_hazard", "lateral_water_hazard", "cartpath", "path", "clubhouse", "hole", "pin"]

@@ -153,3 +153,42 @@ def test_nearest_value_equals_nearest_seed():
         want = K.nearest_seed(h)
         assert all(K.nearest_value(h, r, c) == want[r, c] for r in range(12) for c in range(17))
     assert np.isnan(K.nearest_value(np.full((3, 4), np.nan), 1, 1))
+
+
+def test_cells_are_drawn_by_the_stamps_they_want(rng):
+    radii = rng.uniform(5, 20, (6, 7))
+    h = rng.random((6, 7))
+    h[2], radii[4, 4] = np.nan, np.nan
+    sums = K.density_sums(h, radii)
+    n = 40_000
+    got = np.zeros(h.shape)
+    for _ in range(n):
+        got[K.drawn_cell(sums, 7, rng)] += 1
+    want = np.where(np.isnan(h) | np.isnan(radii), 0, 1 / radii**2)
+    want = want / want.sum()
+    assert not got[want == 0].any() and (np.abs(got / n - want) < 5 * np.sqrt(want / n) + 1e-12).all()
+
+
+def test_scattered_by_density_has_the_radii_of_its_cells(rng):
+    h, radii = rng.random((30, 40)), np.full((30, 40), 40.0)
+    radii[:, 20:] = 20.0
+    h[:5], radii[5] = np.nan, np.nan
+    got = K.scatter(h, 10.0, 40.0, share=0.7, seed=2, radii=radii, density=True)
+    assert got == K.scatter(h, 10.0, 40.0, share=0.7, seed=2, radii=radii, density=True)
+    for i, (x, z, r, v, _) in enumerate(got):
+        claim = 0.7 * r
+        cells = [h[p, q] for p in range(30) for q in range(40) if np.hypot((q + 0.5) * 10 - x, (p + 0.5) * 10 - z) <= claim and not np.isnan(h[p, q])]
+        assert z >= 60 and r == (40.0 if x < 200 else 20.0) and len(cells) >= 3 and v == pytest.approx(np.mean(cells))
+        assert all(np.hypot(x - a, z - b) >= 0.7 * (r + q) - 1e-9 for a, b, q, _, _ in got[:i])
+    assert sum(r == 20.0 for _, _, r, _, _ in got) > sum(r == 40.0 for _, _, r, _, _ in got) > 0
+    assert K.scatter(np.full((4, 4), np.nan), 10.0, 40.0, radii=np.full((4, 4), 9.0), density=True) == []
+
+
+@pytest.mark.parametrize("gain", [0.0, 0.1, 0.9])
+def test_candidates_double_until_little_is_gained(rng, gain):
+    mask = rng.random((40, 40)) < 0.97
+    args = (mask, 5.0, [30.0, 20.0, 12.0], 0.5, 0.0)
+    left = {n: int(K.poisson_pack(*args, n, 3)[1].sum()) for n in (10, 20, 40, 80, 160)}
+    want = next((n for n in (20, 40, 80, 160) if left[n // 2] and 1 - left[n] / left[n // 2] <= gain), 200)
+    assert K.enough_candidates(*args, 10, 200, gain, 3) == want
+    assert K.enough_candidates(np.zeros((4, 4), bool), *args[1:], 10, 200, gain, 3) == 10
