@@ -1,10 +1,11 @@
-"""Queries of brush images, of stamps scattered by density and of numbers of candidates, with their SQL where there is one."""
+"""Queries of brush images, of rectangles along edges, of stamps scattered by density and of numbers of candidates, with their SQL where there is one."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import compositing as CO
+from ..operators import fallline as FL
 from ..operators import grid as GR
 from ..operators import raster as RA
 from ..sources import adapters as A
@@ -50,3 +51,31 @@ def scatter_density(spark, d):
 def candidate_trials(spark, d):
     """No SQL: packing draws at random; a test holds the numbers against a plain search."""
     return RA.candidate_trials(GR.with_bands(C.ground(spark, d), 10.0), C.GRID)
+
+
+#: Rectangles of a diamond's edges in closed form: the opposite wall is as far as an edge is long.
+RECTANGLES = f"""{C.GROUND}, {C.POLYGONS}, r AS (SELECT poly, k::INT AS i, rad * sqrt(2) AS width, CASE WHEN rad * sqrt(2) <= 60 THEN greatest(25, rad * sqrt(2)) ELSE 25 END::DOUBLE AS length, cx + rad * mx / 2 AS mx, cz + rad * mz / 2 AS mz, -mx / sqrt(2) AS nx, -mz / sqrt(2) AS nz
+  FROM polygons, (VALUES (0, 1, 1), (1, -1, 1), (2, -1, -1), (3, 1, -1)) v(k, mx, mz)),
+rects AS (SELECT poly, i, mx + nx * length / 2 AS x, mz + nz * length / 2 AS z, width / 2 / (500 / 512::DOUBLE) AS scale_x, length / 2 / (500 / 512::DOUBLE) AS scale_z, degrees(atan2(nx, nz)) AS rotation FROM r)"""
+
+
+def rectangles(spark, d):
+    from pyspark.sql import Window as W
+
+    corners = A.polygons(spark, d).select(F.col("poly").alias("region"), F.posexplode("ring").alias("i", "p"), F.get("ring", F.lit(0)).alias("first"))
+    after = F.coalesce(F.lead("p").over(W.partitionBy("region").orderBy("i")), "first")
+    edges = corners.withColumn("q", after).select("region", F.lit(0).alias("ring"), "i", F.lit(False).alias("hole"), F.col("p.x").alias("x1"), F.col("p.z").alias("z1"), F.col("q.x").alias("x2"), F.col("q.z").alias("z2"))
+    return FL.edge_rectangles(edges, 60.0, 25.0)
+
+
+@C.query("edge_rectangles", f"WITH {RECTANGLES} SELECT poly, i, round(x, 5) AS x, round(z, 5) AS z, round(scale_x, 5) AS scale_x, round(scale_z, 5) AS scale_z, round(rotation, 4) AS rotation FROM rects")
+def edge_rectangles(spark, d):
+    r = rectangles(spark, d)
+    return r.select(F.col("region").alias("poly"), "i", *[C.r6(c, 5).alias(c) for c in ("x", "z", "scale_x", "scale_z")], C.r6("rotation", 4).alias("rotation"))
+
+
+@C.query("rectangle_values", f"""WITH {RECTANGLES}, m AS (SELECT poly, i, count(h) AS n, avg(h) AS value FROM rects JOIN ground ON abs(((col + 0.5) * 20 - x) * cos(radians(rotation)) - ((row + 0.5) * 20 - z) * sin(radians(rotation))) <= scale_x
+  AND abs(((col + 0.5) * 20 - x) * sin(radians(rotation)) + ((row + 0.5) * 20 - z) * cos(radians(rotation))) <= scale_z GROUP BY 1, 2) SELECT poly, i, coalesce(n, 0)::BIGINT AS n, round(value, 6) AS value FROM rects LEFT JOIN m USING (poly, i)""")
+def rectangle_values(spark, d):
+    got = FL.rectangle_values(rectangles(spark, d), C.ground(spark, d), C.GRID, ["region", "i"])
+    return got.select(F.col("region").alias("poly"), "i", "n", C.r6("value").alias("value"))
