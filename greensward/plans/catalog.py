@@ -551,21 +551,6 @@ def tiles(spark: SparkSession, d: str) -> DataFrame:
     return ground(spark, d).select((F.floor(row / 50) * 2 + F.floor(col / 50)).cast("int").alias("raster"), (row % 50).alias("row"), (col % 50).alias("col"), "h")
 
 
-@query("gap_fill")
-def gap_fill(spark, d):
-    return RA.filled(tiles(spark, d), TILE)
-
-
-@query("edt")
-def edt(spark, d):
-    return RA.distances(tiles(spark, d), TILE)
-
-
-@query("components")
-def components(spark, d):
-    return RA.components(tiles(spark, d).where("h > 260"), TILE)
-
-
 @query("tree_detect")
 def tree_detect(spark, d):
     """Crowns in squares of 500 m: the highest vegetation over the mean ground of each cell of 10 m."""
@@ -586,14 +571,6 @@ def scatter_refine(spark, d):
     return RA.scattered(tiles(spark, d), TILE, 60.0)
 
 
-@query("adaptive_refine")
-def adaptive_refine(spark, d):
-    t = tiles(spark, d)
-    flat = t.groupBy("raster").agg(F.avg("h").alias("h"))
-    predicted = t.drop("h").join(F.broadcast(flat), "raster")  # a row per raster
-    return RA.hotspots(t, predicted, TILE, 20.0, 60.0, tolerance=10.0)
-
-
 @query("rect_fill")
 def rect_fill(spark, d):
     return RA.rectangles(tiles(spark, d), TILE)
@@ -625,4 +602,4 @@ def cluster_pack(spark, d):
     return RA.packed_circles(A.polygons(spark, d), 8.0)
 
 
-from . import compositing, placement  # noqa: E402, F401  add their queries
+from . import compositing, placement, refinement, tiling  # noqa: E402, F401  add their queries
