@@ -72,12 +72,15 @@ def learned(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", tex
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("id IS NOT NULL AND lang IS NOT NULL")
     if held_out:
         known = known.where("crc32(cast(id AS string)) % 3 <> 1")
-    langs = known.select("lang").distinct().count()
+    counts = known.groupBy("lang").count()
+    langs = counts.count()
     size = min(size, total // max(1, langs))
     if size < PIECE:
         raise ValueError(f"{langs} languages don't fit into {total} bytes")
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = known.where(r"text rlike '\\p{L}'").select("lang", "id").distinct().withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= rows).select("lang", "id")
+    share = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / (1 << 40) * F.col("count")  # of a hash: by it about twice `rows` rows of a language go on to be sorted
+    some = known.where(r"text rlike '\\p{L}'").join(F.broadcast(counts), "lang").where(share < 2 * rows)  # a row per language, at most `total` / 1000
+    by_hash = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 40)), "id")
+    chosen = some.select("lang", "id").distinct().withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= rows).select("lang", "id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
