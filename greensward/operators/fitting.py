@@ -1,35 +1,20 @@
 """Operators whose rows wait for others: stamp heights fitted in order, trees moved off paths until they are clear.
 
-Both go in rounds over all rows that can be settled at once. What a round leaves is checkpointed, so plans stay short and a lost
+Both go in rounds over all rows that can be settled at once. What a round leaves is written to the shared folder, so plans stay short and a lost
 executor costs one round.
 """
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .grid import Grid, sample_mean
 from .spatial import nearest_segment
+from .staging import cut
 from .stamps import RAISE, effects, fold, kernel
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the folder of spark.checkpoint.dir; one of our own only where it is unset and all runs in one process."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def fitted_in_order(stamps: DataFrame, raster: DataFrame, grid: Grid, profiles: DataFrame, existing: DataFrame | None = None, least: int = 3) -> DataFrame:
     """(seq, target, value): heights of stamps, each fitted to what the ones before it in seq, and the existing ones, have made of its centre.
 

@@ -8,9 +8,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .fitting import cut
 from .grid import Grid, sample_mean
 from .spatial import in_polygons, nearest_segment
+from .staging import cut, numbered, running_sum
 
 HEIGHT, RADIUS, TYPE = "pga_tree_height", "pga_tree_radius", "pga_tree_type"
 #: Leaf types that hint at a tree type.
@@ -90,23 +90,37 @@ def hole_waypoints(holes: DataFrame) -> DataFrame:
 
 
 def ordered_holes(holes: DataFrame) -> DataFrame:
-    """(hole, seq, par, pts): of equal numbers the last one counts; missing numbers are -1; a number of 0 becomes one more than the
-    holes known when it is met, which depends on all before it: only (seq, ref) of such rows and of each number's first place go through one ordered pass."""
-    h = hole_waypoints(holes).withColumn("ref", F.coalesce("ref", F.lit(-1)))
+    """(hole, seq, par, pts): of equal numbers the last one counts; missing numbers are -1; a number of 0 becomes one more than the different
+    numbers known when it is met.
+
+    First places of numbers cut the holes, in order, into stretches in which only zeros are met. Within one each zero gets one more than the last, up to
+    the first number that was known already, which all further ones get. So only the stretches (a row for each different number) are gone through in
+    order; the zeros are numbered by running sums over ranges."""
+    h = hole_waypoints(holes).select("seq", F.coalesce("ref", F.lit(-1)).alias("ref"), "par", "pts")
     firsts = h.where("ref <> 0").groupBy("ref").agg(F.min("seq").alias("seq")).select("seq", "ref")
+    met = running_sum(firsts.unionByName(h.where("ref = 0").select("seq", "ref")), "stretch", F.col("ref") != 0, F.col("seq"))
+    zeros = numbered(met.where("ref = 0").select("seq", "stretch"), "k", F.col("seq"))
+    counts = zeros.groupBy("stretch").agg(F.count("*").alias("zeros"), F.min("k").alias("k"))
+    stretches = met.where("ref <> 0").select("stretch", "ref").join(counts, "stretch", "full")
 
     def number(frame: pd.DataFrame) -> pd.DataFrame:
         known: set[int] = set()
-        taken = []
-        for seq, ref in frame.sort_values("seq")[["seq", "ref"]].itertuples(index=False):
-            if ref == 0:
-                ref = len(known) + 1
-                taken.append((seq, ref))
-            known.add(ref)
-        return pd.DataFrame(taken, columns=["seq", "ref"])
-
-    zeros = firsts.unionByName(h.where("ref = 0").select("seq", "ref")).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(number, "seq long, ref int")
-    every = h.where("ref <> 0").select("seq", "ref", "par", "pts").unionByName(h.where("ref = 0").drop("ref").join(zeros, "seq").select("seq", "ref", "par", "pts"))
+        given: list[tuple[int, int]] = []
+        n, out = 0, []
+        for stretch, ref, zeros_, k in frame.sort_values("stretch")[["stretch", "ref", "zeros", "k"]].itertuples(index=False):
+            if stretch:
+                n += not any(low <= ref <= high for low, high in given)
+                known.add(int(ref))
+            if zeros_ > 0:
+                stop = min((r for r in known if r > n), default=1 << 40)
+                out.append((stretch, n - int(k) + 1, stop))
+                given.append((n + 1, min(n + int(zeros_), stop - 1)))
+                n = given[-1][1]
+        return pd.DataFrame(out, columns=["stretch", "shift", "stop"])
+
+    rule = stretches.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(number, "stretch long, shift long, stop long")
+    numbers = zeros.join(rule, "stretch").select("seq", F.least(F.col("k") + F.col("shift"), "stop").cast("int").alias("ref"))
+    every = h.where("ref <> 0").unionByName(h.where("ref = 0").drop("ref").join(numbers, "seq").select("seq", "ref", "par", "pts"))
     return every.groupBy(F.col("ref").alias("hole")).agg(F.max_by(F.struct("seq", "par", "pts"), "seq").alias("h")).select("hole", "h.seq", "h.par", "h.pts")
 
 

@@ -3,9 +3,9 @@
 A hotspot is the cell deepest within an area that is too high, or too low, by more than a tolerance: the one farthest from any cell that isn't. Its stamp
 claims the cells around it, which makes cells nearby less deep, and the next deepest follows. That loop is sequential, but a claim reaches only so far. So
 windows (tiles with a halo) run it side by side, and a window takes a place only if nothing that it can't see could change that place: neither a claim from
-beyond its edge, nor one of a deeper place that is itself uncertain. What is certain in the tile's own cells is claimed for all, and the next round goes on
-from there. The places found are those of the sequential loop, in whatever order windows run. If no window is certain of anything the halo is doubled,
-up to the whole raster at worst.
+beyond its edge, nor one of a deeper place that is itself uncertain. What is certain in the tile's own cells is told to all, and in the next round every window runs
+again from the start, with the places known by then taken when their turn comes. So the places found are those of the sequential loop, with the depths
+they have there. If no window is certain of anything new the halo is doubled, up to the whole raster at worst.
 """
 
 from __future__ import annotations
@@ -15,11 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .grid import Grid, circle_cells, downsample
-from .staging import cut
+from .staging import cut, numbered
 from .stamps import affine_blocks, candidate_scores, effects, fold, render
 from .tiled import in_windows, nearest_in_rows
 
@@ -78,12 +77,14 @@ class Window:
         self.edge = np.minimum(ends[0][:, None], ends[1][None, :])
 
     def around(self, i: int, j: int, reach: float) -> tuple[tuple[slice, slice], np.ndarray]:
-        """The box of cells within reach of a cell, and their distances to it."""
-        cz, cx = self.grid.cell_z, self.grid.cell_x
-        a, b = (min(int(min(reach, 1e9) / c) + 1, n) for c, n in ((cz, self.error.shape[0]), (cx, self.error.shape[1])))
-        box = slice(max(0, i - a), i + a + 1), slice(max(0, j - b), j + b + 1)
-        rows, cols = np.arange(self.error.shape[0])[box[0]], np.arange(self.error.shape[1])[box[1]]
-        return box, np.sqrt((((rows - i) * cz) ** 2)[:, None] + (((cols - j) * cx) ** 2)[None, :])
+        """The box of cells within reach of a cell, which may lie outside, and their distances to it."""
+        sizes = self.grid.cell_z, self.grid.cell_x
+        box, apart = [], []
+        for at, n, cell in zip((i, j), self.error.shape, sizes):
+            k = int(min(reach, 1e9) / cell) + 1
+            box.append(slice(min(n, max(0, at - k)), max(0, min(n, at + k + 1))))
+            apart.append(((np.arange(box[-1].start, box[-1].stop) - at) * cell) ** 2)
+        return (box[0], box[1]), np.sqrt(apart[0][:, None] + apart[1][None, :])
 
     def base_radius(self, i: int, j: int, depth: float) -> tuple[float, float] | None:
         """(radius, the radius its points are taken from); None where the ground has too few points."""
@@ -101,8 +102,9 @@ class Window:
             base = max(base * how.shrink, how.smallest)
         return base, reach
 
-    def side(self, sign: int) -> tuple[list[tuple], bool]:
-        """Certain hotspots of the window's own tile, where the terrain is too high (1) or too low (-1), and whether it has uncertain ones."""
+    def side(self, sign: int, known: list[tuple[int, int, float, float]]) -> tuple[list[tuple], bool]:
+        """New certain hotspots of the window's own tile, where the terrain is too high (1) or too low (-1), and whether it has uncertain ones.
+        known: places found before (row and column in the window, depth, radius claimed), also those that only reach into the window."""
         how, grid = self.how, self.grid
         flagged = (sign * np.nan_to_num(self.error) > how.tolerance) & ~self.done
         depth = np.where(flagged, depths(flagged, grid.cell_z, grid.cell_x), 0.0)
@@ -111,72 +113,121 @@ class Window:
         uncertain = flagged & (self.edge <= np.maximum(depth + farthest, seen))
         least = how.least_cells * min(grid.cell_z, grid.cell_x)
         key = np.where(flagged & (depth >= least), depth, -1.0)
-        found, open_ = [], False
-        while True:
-            i, j = np.unravel_index(int(np.argmax(key)), key.shape)
-            deep = float(key[i, j])
-            if deep < least or deep <= 0:
-                return found, open_
-            if uncertain[i, j]:
-                key[i, j] = -1.0
-                open_ |= bool(self.inside[i, j])
-                box, apart = self.around(i, j, farthest + deep)
-                uncertain[box] |= flagged[box] & (apart <= farthest + depth[box])
-                continue
-            radius = self.base_radius(i, j, deep)
-            claim = 0.0 if radius is None else radius[0] * how.claim
+
+        def take(i: int, j: int, claim: float, deep: float) -> tuple[np.ndarray, np.ndarray]:
+            """Claim the cells about a place; others, none deeper than deep, become as deep as they are far from those."""
             box, apart = self.around(i, j, claim)
             rows, cols = np.nonzero(flagged[box] & (apart <= claim))
             rows, cols = rows + box[0].start, cols + box[1].start
-            if self.inside[i, j]:
-                cells = ((rows + self.first[0]) * grid.cols + cols + self.first[1]).tolist()
-                found.append((i + self.first[0], j + self.first[1], sign, deep, *(radius or (None, None)), float(self.error[i, j]), cells))
             flagged[rows, cols], key[rows, cols], depth[rows, cols] = False, -1.0, 0.0
             box, _ = self.around(i, j, claim + deep)
-            left = np.argwhere(flagged[box]) + (box[0].start, box[1].start)
+            left = np.argwhere(key[box] >= 0) + (box[0].start, box[1].start)
             for part in np.array_split(left, len(left) * len(rows) // 1_000_000 + 1):
                 near = np.sqrt(((part[:, :1] - rows) * grid.cell_z) ** 2 + ((part[:, 1:] - cols) * grid.cell_x) ** 2).min(axis=1, initial=np.inf)
                 at = part[:, 0], part[:, 1]
-                depth[at] = np.minimum(depth[at], near)
-                key[at] = np.where(key[at] >= 0, depth[at], -1.0)
+                key[at] = depth[at] = np.minimum(depth[at], near)
+            return rows, cols
+
+        turns = sorted(known, key=lambda k: (-k[2], k[0], k[1]))
+        for i, j, _, _ in turns:
+            if 0 <= i < key.shape[0] and 0 <= j < key.shape[1]:
+                key[i, j] = -1.0
+        found, open_ = [], False
+        while True:
+            i, j = map(int, np.unravel_index(int(np.argmax(key)), key.shape))
+            deep = float(key[i, j])
+            if turns and (deep < least or (-turns[0][2], turns[0][0], turns[0][1]) < (-deep, i, j)):
+                a, b, before, claim = turns.pop(0)
+                take(a, b, claim, before)
+            elif deep < least or deep <= 0:
+                return found, open_
+            elif uncertain[i, j]:
+                key[i, j] = -1.0
+                open_ |= bool(self.inside[i, j])
+                box, apart = self.around(i, j, farthest + deep)
+                uncertain[box] |= flagged[box] & (apart <= farthest + depth[box])
+            else:
+                radius = self.base_radius(i, j, deep)
+                rows, cols = take(i, j, 0.0 if radius is None else radius[0] * how.claim, deep)
+                if self.inside[i, j]:
+                    cells = ((rows + self.first[0]) * grid.cols + cols + self.first[1]).tolist()
+                    found.append((i + self.first[0], j + self.first[1], sign, deep, *(radius or (None, None)), float(self.error[i, j]), cells))
 
 
 FOUND = "row int, col int, side int, depth double, radius double, reach double, error double, claims array<long>"
 
 
-def certain_hotspots(state: DataFrame, raster: DataFrame, fine: Grid, coarse: Grid, how: Refinement, tile: int, halo: int) -> DataFrame:
-    """Rows FOUND of state (row, col, error, done): hotspots certain in this round (radius null: too few points, only the cell is claimed), and a row without
-    a place for each window that has uncertain ones."""
-    inside = F.col("tile_row").between(0, (coarse.rows - 1) // tile) & F.col("tile_col").between(0, (coarse.cols - 1) // tile)
+def in_tile(grid: Grid, tile: int) -> Column:
+    return F.col("tile_row").between(0, (grid.rows - 1) // tile) & F.col("tile_col").between(0, (grid.cols - 1) // tile)
+
+
+def sides(cells: pd.DataFrame, points: tuple[np.ndarray, np.ndarray, np.ndarray], signs: tuple[int, ...], grid: Grid, how: Refinement, tile: int, halo: int) -> list[tuple]:
+    """Rows FOUND of one window's rows (tile_row, tile_col, row, col, error, done) and the known places (side, depth, claim) among them."""
+    top, left = int(cells["tile_row"].iloc[0]) * tile, int(cells["tile_col"].iloc[0]) * tile
+    r0, c0 = max(0, top - halo), max(0, left - halo)
+    shape = min(grid.rows, top + tile + halo) - r0, min(grid.cols, left + tile + halo) - c0
+    error, done = np.full(shape, np.nan), np.zeros(shape, bool)
+    place = cells["side"].notna()
+    own, known = cells[~place], cells[place]
+    at = own["row"] - r0, own["col"] - c0
+    error[at], done[at] = own["error"], own["done"].astype(bool)
+    inner = slice(top - r0, top - r0 + tile), slice(left - c0, left - c0 + tile)
+    window, out = Window(error, done, (r0, c0), inner, points, grid, how), []
+    for sign in signs:
+        here = known[known["side"] == sign]
+        found, open_ = window.side(sign, list(zip((here["row"] - r0).tolist(), (here["col"] - c0).tolist(), here["depth"].tolist(), here["claim"].tolist())))
+        out += found + [(None,) * 8] * open_
+    return out
+
+
+NAMES = ["row", "col", "side", "depth", "radius", "reach", "error", "claims"]
+
+
+def window_rows(state: DataFrame, known: DataFrame | None, grid: Grid, how: Refinement, tile: int, halo: int, keys: list[str]) -> DataFrame:
+    """Rows of the windows: cells of state (keys, row, col, error, done), and known places (keys, row, col, side, depth, radius) that reach into a window."""
+    no = F.lit(None).cast("double")
+    rows = in_windows(state.select(*keys, "row", "col", "error", "done"), tile, halo).withColumns({"side": F.lit(None).cast("int"), "depth": no, "claim": no})
+    if known is not None:
+        wider = halo + int(how.largest * how.claim / min(grid.cell_z, grid.cell_x)) + 1
+        places = known.select(*keys, "row", "col", no.alias("error"), F.lit(True).alias("done"), "side", "depth", F.coalesce(F.col("radius") * how.claim, F.lit(0.0)).alias("claim"))
+        rows = rows.unionByName(in_windows(places, tile, wider))
+    return rows.where(in_tile(grid, tile))
+
+
+def certain_hotspots(state: DataFrame, known: DataFrame | None, raster: DataFrame, fine: Grid, coarse: Grid, how: Refinement, tile: int, halo: int) -> DataFrame:
+    """Rows FOUND of state (row, col, error, done) that aren't known yet: hotspots certain by now (radius null: too few points, only the cell is claimed), and
+    a row without a place for each window that has uncertain ones."""
     z, x = fine.centre_z(F.col("row")), fine.centre_x(F.col("col"))
     points = raster.where("h IS NOT NULL").select(x.alias("x"), z.alias("z"), "h", coarse.row_of(z).alias("row"), coarse.col_of(x).alias("col"))
-    windows = in_windows(state, tile, halo).where(inside).groupBy("tile_row", "tile_col")
+    windows = window_rows(state, known, coarse, how, tile, halo, []).groupBy("tile_row", "tile_col")
 
     def run(cells: pd.DataFrame, ground: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(cells):
-            top, left = int(cells["tile_row"].iloc[0]) * tile, int(cells["tile_col"].iloc[0]) * tile
-            r0, c0 = max(0, top - halo), max(0, left - halo)
-            shape = min(coarse.rows, top + tile + halo) - r0, min(coarse.cols, left + tile + halo) - c0
-            error, done = np.full(shape, np.nan), np.zeros(shape, bool)
-            at = cells["row"] - r0, cells["col"] - c0
-            error[at], done[at] = cells["error"], cells["done"]
-            inner = slice(top - r0, top - r0 + tile), slice(left - c0, left - c0 + tile)
-            window = Window(error, done, (r0, c0), inner, tuple(ground[c].to_numpy(float) for c in ("x", "z", "h")), coarse, how)
-            for sign in (1, -1):
-                found, open_ = window.side(sign)
-                out += found + [(None,) * 8] * open_
-        return pd.DataFrame(out, columns=["row", "col", "side", "depth", "radius", "reach", "error", "claims"], dtype=object)
-
-    return windows.cogroup(in_windows(points, tile, halo).where(inside).groupBy("tile_row", "tile_col")).applyInPandas(run, FOUND)
-
-
-def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
-    """rows with name: 1, 2, ... in this order, which no task sorts alone."""
-    ranged = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    before = ranged.groupBy("_part").count().withColumn("_before", F.sum("count").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)))  # a row per task
-    here = F.row_number().over(W.partitionBy("_part").orderBy(*order)).cast("long")
-    return ranged.withColumn(name, here).join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_part", "_before")
+        out = sides(cells, tuple(ground[c].to_numpy(float) for c in ("x", "z", "h")), (1, -1), coarse, how, tile, halo) if len(cells) else []
+        return pd.DataFrame(out, columns=NAMES, dtype=object)
+
+    return windows.cogroup(in_windows(points, tile, halo).where(in_tile(coarse, tile)).groupBy("tile_row", "tile_col")).applyInPandas(run, FOUND)
+
+
+def deepest_first(mask: DataFrame, grid: Grid, claim: float, key: str, tile: int = 64, halo: int = 32) -> DataFrame:
+    """(key, row, col, depth) of cells that cover each mask (key, row, col) by discs of radius claim: each time the deepest cell that isn't covered yet, the
+    first in row-major order at a tie. Depth is the distance to the nearest cell of the raster that isn't in the mask, or is covered."""
+    how = Refinement(tolerance=0.5, smallest=claim, largest=claim, least_cells=0.0, least_points=0)
+    kind, none = mask.schema[key].dataType.simpleString(), (np.zeros(0),) * 3
+
+    def run(cells: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(sides(cells, none, (1,), grid, how, tile, halo), columns=NAMES, dtype=object)
+        out.insert(0, key, cells[key].iloc[0])
+        return out
+
+    state, known = cut(mask.select(key, "row", "col").distinct().withColumns({"error": F.lit(1.0), "done": F.lit(False)})), None
+    while True:
+        found = cut(window_rows(state, known, grid, how, tile, halo, [key]).groupBy(key, "tile_row", "tile_col").applyInPandas(run, f"{key} {kind}, {FOUND}"))
+        here = found.where("row IS NOT NULL").drop("claims")
+        known = here if known is None else known.unionByName(here)
+        if not found.where("row IS NULL").limit(1).count():
+            return known.select(key, "row", "col", "depth")
+        if not here.limit(1).count():
+            halo *= 2
 
 
 def scored(places: DataFrame, stamps: DataFrame, raster: DataFrame, now: DataFrame, fine: Grid, profiles: DataFrame, how: Refinement) -> DataFrame:
@@ -209,21 +260,15 @@ def hotspots(stamps: DataFrame, raster: DataFrame, fine: Grid, coarse: Grid, pro
     base = cut(stamps.select("seq", "x", "z", "scale_x", "scale_z", "value", "brush", "rotation", "tool"))
     x, z = coarse.centre_x(F.col("col")), coarse.centre_z(F.col("row"))
     order = (F.desc("depth"), F.desc("side"), F.col("row"), F.col("col"))
-    rounds: list[DataFrame] = []
+    known, rounds = None, 0
     while True:
-        found = cut(certain_hotspots(state.select("row", "col", "error", "done"), ground, fine, coarse, how, tile, halo))
-        here = found.where("row IS NOT NULL")
-        if not here.limit(1).count():
-            if not found.limit(1).count() or halo >= max(coarse.rows, coarse.cols):
-                break
-            halo *= 2
-            continue
-        claimed = here.select(F.explode("claims").alias("at")).distinct().select(F.floor(F.col("at") / coarse.cols).cast("int").alias("row"), (F.col("at") % coarse.cols).cast("int").alias("col"), F.lit(True).alias("_claimed"))
-        places = here.where("radius IS NOT NULL").drop("claims").withColumns({"x": x, "z": z})
-        state = state.join(claimed, ["row", "col"], "left").withColumn("done", F.col("done") | F.coalesce("_claimed", F.lit(False))).drop("_claimed")
+        found = cut(certain_hotspots(state.select("row", "col", "error", "done"), None if rebuild else known, ground, fine, coarse, how, tile, halo))
+        here = found.where("row IS NOT NULL").withColumns({"x": x, "z": z, "round": F.lit(rounds)})
+        places = here.drop("claims")
         if rebuild:
-            new = cut(scored(numbered(places, "hotspot", *order), base, ground, now, fine, profiles, how))
-            added = as_stamps(new, base)
+            places = cut(scored(numbered(places.where("radius IS NOT NULL"), "hotspot", *order), base, ground, now, fine, profiles, how))
+            added = as_stamps(places, base)
+            places = places.drop("hotspot")
             for grid in (fine, coarse):
                 cells = grid.cells(stamps.sparkSession).withColumns({"x": grid.centre_x(F.col("col")), "z": grid.centre_z(F.col("row"))})
                 touched = affine_blocks(effects(cells, added, profiles, ["row", "col"]), ["row", "col"], 1 << 62).select("row", "col", "a", "b")
@@ -231,21 +276,18 @@ def hotspots(stamps: DataFrame, raster: DataFrame, fine: Grid, coarse: Grid, pro
                 if grid is fine:
                     now = cut(now.join(touched, ["row", "col"], "full").select("row", "col", later(F.coalesce("h", F.lit(0.0))).alias("h")))
                 else:
-                    state = state.join(touched, ["row", "col"], "left").withColumn("now", later(F.col("now"))).withColumn("error", F.col("now") - F.col("actual")).drop("a", "b")
+                    claimed = here.select(F.explode("claims").alias("at")).distinct().select(F.floor(F.col("at") / coarse.cols).cast("int").alias("row"), (F.col("at") % coarse.cols).cast("int").alias("col"), F.lit(True).alias("_claimed"))
+                    after = state.join(touched, ["row", "col"], "left").join(claimed, ["row", "col"], "left").withColumn("now", later(F.col("now")))
+                    state = cut(after.withColumn("error", F.col("now") - F.col("actual")).withColumn("done", F.col("done") | F.coalesce("_claimed", F.lit(False))).drop("a", "b", "_claimed"))
             base = cut(base.unionByName(added))
-            rounds.append(new.drop("hotspot").withColumn("round", F.lit(len(rounds))))
-        else:
-            rounds.append(places.withColumn("round", F.lit(len(rounds))))
-        state = cut(state)
-    if not rounds:
-        rounds = [found.drop("claims").where("row IS NOT NULL").withColumns({"x": x, "z": z, "round": F.lit(0)})]
-        rounds = [scored(rounds[0].withColumn("hotspot", F.lit(0).cast("long")), base, ground, now, fine, profiles, how).drop("hotspot")] if rebuild else rounds
-    every = rounds[0]
-    for r in rounds[1:]:
-        every = every.unionByName(r)
+        known = places if known is None else known.unionByName(places)
+        some = here.limit(1).count()
+        if not found.where("row IS NULL").limit(1).count() and not (rebuild and some):
+            break
+        halo, rounds = halo if some else 2 * halo, rounds + 1
     if rebuild:
-        return numbered(every, "hotspot", F.col("round"), *order)
-    return scored(numbered(every, "hotspot", *order), base, ground, now, fine, profiles, how)
+        return numbered(known, "hotspot", F.col("round"), *order)
+    return scored(numbered(known.where("radius IS NOT NULL"), "hotspot", *order), base, ground, now, fine, profiles, how)
 
 
 def as_stamps(found: DataFrame, stamps: DataFrame) -> DataFrame:

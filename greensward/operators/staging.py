@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -44,3 +45,17 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
         if not after.join(label.withColumnRenamed("least", "before"), "node").where("least <> before").limit(1).count():
             return after
         label = after
+
+
+def running_sum(rows: DataFrame, name: str, value: Column, *order: Column) -> DataFrame:
+    """rows with name: the sum of whole numbers (value) up to and with each row in this order. Rows are dealt by range and summed within, and only the
+    sums of ranges, a row per task, are summed in one place."""
+    ranged = cut(rows.withColumn(name, value.cast("long")).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = ranged.groupBy("_part").agg(F.sum(name).alias("_sum")).withColumn("_before", F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)))
+    here = F.sum(name).over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return ranged.withColumn(name, here).join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_part", "_before")
+
+
+def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """rows with name: 1, 2, ... in this order, which no task sorts alone."""
+    return running_sum(rows, name, F.lit(1), *order)

@@ -29,11 +29,12 @@ def in_windows(cells: DataFrame, tile: int, halo: int) -> DataFrame:
     return cells.withColumn("tile_row", reached("row")).withColumn("tile_col", reached("col"))
 
 
-def components(mask: DataFrame, grid: Grid, tile: int = 256, eight: bool = False) -> DataFrame:
-    """(row, col, label) of the cells (row, col) of mask: label is 1 + the row-major place of the first cell of the cell's component.
+def components(mask: DataFrame, grid: Grid, tile: int = 256, eight: bool = False, key: str | None = None) -> DataFrame:
+    """(key, row, col, label) of the cells (key, row, col) of mask, a mask for each whole number key, or one: label is 1 + the row-major place of the
+    first cell of the cell's component.
 
     Tiles are labelled alone; labels that meet across a border are edges of a graph of labels, whose components rename them."""
-    cols = grid.cols
+    cols, size = grid.cols, grid.rows * grid.cols
 
     def label(frame: pd.DataFrame) -> pd.DataFrame:
         r0, c0 = int(frame["row"].min()), int(frame["col"].min())
@@ -41,39 +42,44 @@ def components(mask: DataFrame, grid: Grid, tile: int = 256, eight: bool = False
         on[frame["row"] - r0, frame["col"] - c0] = True
         rows, at = np.nonzero(on)
         first_row, first_col = np.divmod(K.labels(on, eight)[rows, at].astype(np.int64) - 1, on.shape[1])
-        return pd.DataFrame({"row": rows + r0, "col": at + c0, "label": (first_row + r0) * cols + first_col + c0 + 1})
+        of = int(frame["of"].iloc[0])
+        return pd.DataFrame({"of": of, "row": rows + r0, "col": at + c0, "label": of * size + (first_row + r0) * cols + first_col + c0})
 
-    cells = mask.select("row", "col").distinct()
-    local = cut(cells.groupBy(tile_of("row", tile).alias("tile_row"), tile_of("col", tile).alias("tile_col")).applyInPandas(label, "row int, col int, label long"))
+    cells = mask.select((F.lit(0) if key is None else F.col(key)).cast("long").alias("of"), "row", "col").distinct()
+    local = cut(cells.groupBy("of", tile_of("row", tile).alias("tile_row"), tile_of("col", tile).alias("tile_col")).applyInPandas(label, "of long, row int, col int, label long"))
     slant = F.explode(F.array(*map(F.lit, (-1, 0, 1) if eight else (0,)))).alias("slant")
     meeting = []
     for axis, other in (("row", "col"), ("col", "row")):
-        last = local.where(F.col(axis) % tile == tile - 1).select((F.col(axis) + 1).alias(axis), F.col(other).alias("from"), F.col("label").alias("a"), slant)
-        next_ = local.where(F.col(axis) % tile == 0).select(axis, other, F.col("label").alias("b"))
-        meeting.append(last.withColumn(other, F.col("from") + F.col("slant")).join(next_, [axis, other]).select("a", "b"))
+        last = local.where(F.col(axis) % tile == tile - 1).select("of", (F.col(axis) + 1).alias(axis), F.col(other).alias("from"), F.col("label").alias("a"), slant)
+        next_ = local.where(F.col(axis) % tile == 0).select("of", axis, other, F.col("label").alias("b"))
+        meeting.append(last.withColumn(other, F.col("from") + F.col("slant")).join(next_, ["of", axis, other]).select("a", "b"))
     root = smallest_reachable(meeting[0].unionByName(meeting[1]).distinct())
-    return local.join(root.withColumnRenamed("node", "label"), "label", "left").select("row", "col", F.coalesce("least", "label").alias("label"))
+    named = local.join(root.withColumnRenamed("node", "label"), "label", "left").withColumn("label", F.coalesce("least", "label") - F.col("of") * size + 1)
+    return named.select(*([] if key is None else [F.col("of").cast(mask.schema[key].dataType).alias(key)]), "row", "col", "label")
 
 
-def closed(mask: DataFrame, radius: int) -> DataFrame:
-    """(row, col) of mask grown by squares of 2 radius + 1 cells and shrunk again, axis by axis; cells outside a raster are cells like others."""
+def closed(mask: DataFrame, radius: int, key: str | None = None) -> DataFrame:
+    """(key, row, col) of mask grown by squares of 2 radius + 1 cells and shrunk again, axis by axis; cells outside a raster are cells like others."""
     places = lambda axis: F.explode(F.sequence(F.col(axis) - radius, F.col(axis) + radius))
-    out = mask.select("row", "col").distinct()
+    names = ["row", "col"] if key is None else [key, "row", "col"]
+    out = mask.select(names).distinct()
     for axis in ("row", "col"):
         out = out.withColumn(axis, places(axis)).distinct()
     for axis in ("row", "col"):
-        out = out.withColumn(axis, places(axis)).groupBy("row", "col").count().where(F.col("count") == 2 * radius + 1).select("row", "col")
+        out = out.withColumn(axis, places(axis)).groupBy(names).count().where(F.col("count") == 2 * radius + 1).select(names)
     return out
 
 
-def denoised(mask: DataFrame, grid: Grid, radius: int, tile: int = 256) -> DataFrame:
-    """(row, col) of mask closed by radius, without components smaller than half the square of 2 radius + 1 cells."""
+def denoised(mask: DataFrame, grid: Grid, radius: int, tile: int = 256, key: str | None = None) -> DataFrame:
+    """(key, row, col) of mask closed by radius, without components smaller than half the square of 2 radius + 1 cells."""
+    names = ["row", "col"] if key is None else [key, "row", "col"]
     if radius <= 0:
-        return mask.select("row", "col").distinct()
-    inside = closed(mask, radius).where(F.col("row").between(0, grid.rows - 1) & F.col("col").between(0, grid.cols - 1))
-    labelled = components(inside, grid, tile)
-    large = labelled.groupBy("label").count().where(F.col("count") >= max(1, (2 * radius + 1) ** 2 // 2)).select("label")
-    return labelled.join(large, "label", "left_semi").select("row", "col")
+        return mask.select(names).distinct()
+    inside = closed(mask, radius, key).where(F.col("row").between(0, grid.rows - 1) & F.col("col").between(0, grid.cols - 1))
+    labelled = components(inside, grid, tile, key=key)
+    by = [n for n in names if n == key] + ["label"]
+    large = labelled.groupBy(by).count().where(F.col("count") >= max(1, (2 * radius + 1) ** 2 // 2)).select(by)
+    return labelled.join(large, by, "left_semi").select(names)
 
 
 def nearest_in_rows(row: np.ndarray, near: np.ndarray, cell_z: float, cell_x: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,6 +130,31 @@ def nearest_sites(sites: DataFrame, grid: Grid, wanted: DataFrame | None = None,
     return (grid.cells(sites.sparkSession) if wanted is None else wanted.select("row", "col")).join(found, ["row", "col"], "left")
 
 
+def depths(mask: DataFrame, grid: Grid, key: str, rows_at_once: int = 16) -> DataFrame:
+    """(key, row, col, depth) of each mask (key, row, col): metres to the nearest cell of the raster that isn't in the mask of that key; null if all are.
+
+    Only the masks' cells are stored and shuffled: in a column the nearest cell that is missing stands at an end of the run of cells without a gap."""
+    column = W.partitionBy(key, "col").orderBy("row")
+    runs = mask.select(key, "row", "col").distinct().withColumn("run", F.col("row") - F.row_number().over(column))
+    ends = W.partitionBy(key, "col", "run")
+    up, down = F.min("row").over(ends) - 1, F.max("row").over(ends) + 1
+    runs = runs.select(key, "row", "col", F.when(up >= 0, up).alias("up"), F.when(down < grid.rows, down).alias("down"))
+    near = F.when(F.col("down").isNull() | (F.col("row") - F.col("up") <= F.col("down") - F.col("row")), F.col("up")).otherwise(F.col("down"))
+    kind, cell_z, cell_x, cols = mask.schema[key].dataType.simpleString(), grid.cell_z, grid.cell_x, grid.cols
+
+    def across(frame: pd.DataFrame) -> pd.DataFrame:
+        row, i = np.unique(frame["row"].to_numpy(), return_inverse=True)
+        first = max(0, int(frame["col"].min()) - 1)
+        c = frame["col"].to_numpy() - first
+        sites = np.repeat(row[:, None].astype(float), min(cols, int(frame["col"].max()) + 2) - first, axis=1)
+        sites[i, c] = frame["near"].to_numpy(float, na_value=np.nan)
+        d = nearest_in_rows(row, sites, cell_z, cell_x)[0][i, c]
+        return pd.DataFrame({key: frame[key], "row": frame["row"], "col": frame["col"], "depth": pd.Series(d, index=frame.index).where(np.isfinite(d), None)})
+
+    found = runs.select(key, "row", "col", near.alias("near")).groupBy(key, F.floor(F.col("row") / rows_at_once))
+    return found.applyInPandas(across, f"{key} {kind}, row int, col int, depth double")
+
+
 def distances(raster: DataFrame, grid: Grid) -> DataFrame:
     """(row, col, d): metres from the centre of each cell with data to that of the nearest without; null where all have data."""
     known = raster.where("h IS NOT NULL").select("row", "col")
@@ -185,6 +216,22 @@ def relaxed(dense: DataFrame, grid: Grid, rounds: int, tolerance: float, tile: i
     return dense.select("row", "col", "h", "known")
 
 
+def nearest_values(sites: DataFrame, raster: DataFrame, key: str, far: int = 50) -> DataFrame:
+    """(key, value) of sites (key, row, col): the height of their cell or, where it has none, of a cell of the smallest square about it that has any, the
+    nearest one of that square, in row-major order at a tie; 0 if none is within far cells. Few sites need a search; squares of 2 cells are tried first."""
+    known = raster.where("h IS NOT NULL").select("row", "col", "h")
+    here = sites.select(key, "row", "col").join(known, ["row", "col"], "left")
+    parts, left = [here.where("h IS NOT NULL").select(key, F.col("h").alias("value"))], cut(here.where("h IS NULL").select(key, "row", "col"))
+    for reach in (min(2, far), far):
+        step = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
+        around = left.withColumn("dr", step).withColumn("dc", step).select(key, "dr", "dc", (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"))
+        order = F.struct(F.greatest(F.abs("dr"), F.abs("dc")).alias("square"), (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d"), "row", "col")
+        parts.append(cut(around.join(known, ["row", "col"]).groupBy(key).agg(F.min_by("h", order).alias("value"))))
+        left = cut(left.join(parts[-1], key, "left_anti"))
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return found.unionByName(left.select(key, F.lit(0.0).alias("value")))
+
+
 def gap_filled(raster: DataFrame, grid: Grid, rounds: int = 200, tolerance: float = 1e-4, smallest: int = 32, tile: int = 256, halo: int = 32) -> DataFrame:
     """(row, col, h, known) of all cells: those with data keep their values, the others settle to the mean of their neighbours, from coarse to fine.
 

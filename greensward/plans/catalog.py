@@ -16,6 +16,7 @@ from ..functions import geometry as G
 from ..operators import features as FE
 from ..operators import grid as GR
 from ..operators import objects as OB
+from ..operators import pruning as PR
 from ..operators import raster as RA
 from ..operators import spatial as SP
 from ..operators import stamps as ST
@@ -459,7 +460,10 @@ def hole_waypoints(spark, d):
     return h.select("seq", "par", at(1, "x").alias("mid_x"), at(1, "z").alias("mid_z"), at(2, "x").alias("end_x"), at(2, "z").alias("end_z"))
 
 
-@query("hole_order")
+@query("hole_order", f"""WITH RECURSIVE {HOLES}, h AS (SELECT seq, coalesce(ref, -1) AS ref, par FROM holes WHERE n >= 2), ev AS (SELECT row_number() OVER (ORDER BY seq) AS i, seq, ref FROM (SELECT min(seq) AS seq, ref FROM h WHERE ref <> 0 GROUP BY ref UNION ALL SELECT seq, ref FROM h WHERE ref = 0)),
+go AS (SELECT 0::BIGINT AS i, []::INT[] AS known, NULL::INT AS hole UNION ALL SELECT i, CASE WHEN list_contains(known, x) THEN known ELSE list_append(known, x) END, x FROM (SELECT ev.i, known, CASE WHEN ref = 0 THEN len(known) + 1 ELSE ref END::INT AS x FROM go JOIN ev ON ev.i = go.i + 1)),
+every AS (SELECT seq, ref AS hole, par FROM h WHERE ref <> 0 UNION ALL SELECT h.seq, go.hole, par FROM h JOIN ev USING (seq) JOIN go USING (i) WHERE h.ref = 0)
+SELECT hole, max(seq) AS seq, max_by(struct_pack(p := par), seq).p AS par FROM every GROUP BY hole""")
 def hole_order(spark, d):
     return OB.ordered_holes(A.holes(spark, d)).select("hole", "seq", "par")
 
@@ -561,11 +565,6 @@ def tree_detect(spark, d):
     return RA.trees(cells((2,), F.avg), cells((3, 4, 5), F.max), small)
 
 
-@query("contour_poisson")
-def contour_poisson(spark, d):
-    return RA.contour_stamps(GR.with_bands(GR.downsample(ground(spark, d), GRID, BLOCK), 10.0), GR.Grid(rows=40, cols=40))
-
-
 @query("scatter_refine")
 def scatter_refine(spark, d):
     return RA.scattered(tiles(spark, d), TILE, 60.0)
@@ -581,11 +580,17 @@ def outlines(spark, d):
     return RA.outlines(tiles(spark, d).where("h > 260"), TILE)
 
 
-@query("prune_stamps")
+#: One stamp after the other, the newest first; rows of t: what is left of a cell, at -1 how many stamps are done, below whether a stamp is gone.
+PRUNE = f"""{HITS}, h AS MATERIALIZED (SELECT seq, (row * 100 + col)::BIGINT AS id, w FROM hits), ord AS MATERIALIZED (SELECT seq, tool, row_number() OVER (ORDER BY seq DESC) AS k FROM stamps),
+t(id, v) USING KEY (id) AS (SELECT DISTINCT id, 1.0::DOUBLE FROM h UNION ALL SELECT -1, 0.0::DOUBLE
+  UNION (WITH st AS (SELECT ord.* FROM ord JOIN t ON t.id = -1 AND ord.k = t.v::BIGINT + 1), own AS (SELECT st.seq, h.id, h.w, r.v FROM st JOIN h ON h.seq = st.seq JOIN recurring.t r ON r.id = h.id),
+    dec AS (SELECT st.k, st.seq, st.tool, coalesce((SELECT bool_and(v <= 1e-3) FROM own WHERE w > 1e-3), FALSE) AS gone FROM st)
+    SELECT -1, k::DOUBLE FROM dec UNION ALL SELECT -10 - seq, gone::INT::DOUBLE FROM dec UNION ALL SELECT own.id, own.v * (1 - own.w) FROM own, dec WHERE NOT gone AND tool = 0))"""
+
+
+@query("prune_stamps", f"WITH RECURSIVE {PRUNE} SELECT -10 - id AS seq, v = 0 AS keep FROM t WHERE id <= -10")
 def prune_stamps(spark, d):
-    s = A.stamps(spark, d)
-    hits = cell_hits(spark, d).join(s.select("seq", F.lit(0).alias("course")), "seq")
-    return RA.pruned(s.withColumn("course", F.lit(0)), hits, "course", GRID)
+    return PR.pruned(A.stamps(spark, d), cell_hits(spark, d))
 
 
 @query("tree_relocate")
@@ -602,4 +607,4 @@ def cluster_pack(spark, d):
     return RA.packed_circles(A.polygons(spark, d), 8.0)
 
 
-from . import compositing, placement, refinement, tiling  # noqa: E402, F401  add their queries
+from . import compositing, packing, placement, refinement, tiling  # noqa: E402, F401  add their queries

@@ -57,5 +57,5 @@ SETTLED = f"""{C.GROUND}, {CELLS}, mean AS (SELECT avg(h) AS m FROM ground), sta
 
 @C.query("gap_fill", f"WITH RECURSIVE {SETTLED} SELECT row, col, round(h + 0.000017::DOUBLE, 3) AS h, known FROM j WHERE k = 400")
 def gap_fill(spark, d):
-    out = TI.gap_filled(C.ground(spark, d), C.GRID, rounds=1000, tolerance=1e-8, tile=64, halo=32)
+    out = TI.gap_filled(C.ground(spark, d), C.GRID, rounds=1000, tolerance=1e-8, tile=64, halo=64)
     return out.select("row", "col", F.round(F.col("h") + 0.000017, 3).alias("h"), "known")

@@ -1,6 +1,7 @@
 """Hotspots found window by window against the loop that takes the deepest place of the whole raster, one after the other."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,13 +89,42 @@ def test_windows_find_what_the_loop_finds(spark, seed, tile, halo, more):
         assert r.x == pytest.approx(5.0 + (r.col + 0.5) * 3.0) and r.rms is not None and r.brush in (8, 9, 10, 54)
 
 
+def test_windows_alone_agree_with_the_loop_on_many_rasters():
+    """The rounds of windows without Spark: rows of each window as the operators make them."""
+    for seed in range(24):
+        rng = np.random.default_rng(seed)
+        shape = tuple(int(n) for n in rng.integers(6, 22, 2))
+        h = ground(seed, shape, int(rng.integers(0, 4)))
+        grid = Grid(*shape, 0.0, 0.0, shape[1] * 2.0, shape[0] * (3.0 if seed % 2 else 2.0))
+        how = RE.Refinement(tolerance=float(rng.choice([0.5, 2.0])), smallest=2.0, largest=float(rng.choice([3.0, 5.0])), claim=float(rng.choice([1.0, 0.6])), least_points=int(rng.choice([0, 6])))
+        tile, halo, known = int(rng.integers(3, 9)), int(rng.integers(1, 7)), []
+        rr, cc = np.nonzero(~np.isnan(h))
+        points = grid.min_x + (cc + 0.5) * grid.cell_x, grid.min_z + (rr + 0.5) * grid.cell_z, h[rr, cc]
+        while True:
+            found = []
+            for i in range((shape[0] - 1) // tile + 1):
+                for j in range((shape[1] - 1) // tile + 1):
+                    near = (rr >= i * tile - halo) & (rr < (i + 1) * tile + halo) & (cc >= j * tile - halo) & (cc < (j + 1) * tile + halo)
+                    frame = pd.DataFrame({"tile_row": i, "tile_col": j, "row": rr[near], "col": cc[near], "error": -h[rr[near], cc[near]], "done": False, "side": np.nan, "depth": np.nan, "claim": np.nan})
+                    told = pd.DataFrame([(i, j, r, c, np.nan, True, s, d, (q or 0.0) * how.claim) for r, c, s, d, q, *_ in known], columns=frame.columns)
+                    if len(frame):
+                        found += RE.sides(pd.concat([frame, told]) if len(told) else frame, tuple(p[near] for p in points), (1, -1), grid, how, tile, halo)
+            here = [f for f in found if f[0] is not None]
+            known += here
+            if len(here) == len(found):
+                break
+            halo = halo if here else 2 * halo
+        got = sorted(((r, c, s, round(q, 9)) for r, c, s, _, q, *_ in known if q is not None))
+        assert got == sorted(in_order(-h, h, grid, how)), seed
+
+
 def test_an_area_without_edges_is_one_window(spark):
     grid = Grid(20, 20, 0.0, 0.0, 40.0, 40.0)
     h = np.full((20, 20), 5.0)
     h[0, 0] = 0.0
     how = RE.Refinement(tolerance=1.0, smallest=4.0, largest=8.0)
     got = RE.hotspots(spark.createDataFrame([], NO_STAMPS), table(spark, h), grid, grid, A.brush_profiles(spark), how, tile=4, halo=1)
-    assert [(r.row, r.col, r.side, r.radius) for r in sorted(got.collect(), key=lambda r: r.hotspot)] == in_order(-h, h, grid, how)
+    assert [(r.row, r.col, r.side, round(r.radius, 9)) for r in sorted(got.collect(), key=lambda r: r.hotspot)] == in_order(-h, h, grid, how)
 
 
 def residual(spark, stamps, raster, grid):
