@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,10 +135,93 @@ def compose_blocks(blocks: DataFrame, keys: list[str], start: float = 0.0) -> Da
     return blocks.groupBy(*keys).agg(F.aggregate(ordered, F.lit(start), lambda h, m: m["a"] * h + m["b"]).alias("h"))
 
 
-def render(grid: Grid, stamps: DataFrame, profiles: DataFrame, start: float = 0.0) -> DataFrame:
-    """(row, col, h) of every cell a stamp reaches, at cell centres; others keep start and are left out."""
-    cells = grid.cells(stamps.sparkSession).withColumns({"x": grid.centre_x(F.col("col")), "z": grid.centre_z(F.col("row"))})
-    return fold(effects(cells, stamps, profiles, ["row", "col"]), ["row", "col"], start)
+def weights(w: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """kernel for arrays."""
+    at = np.clip(r, 0.0, 1.0) * 255
+    i = np.minimum(254, np.floor(at)).astype(int)
+    return w[i] + (w[i + 1] - w[i]) * (at - i)
+
+
+def tasks(grid: Grid, rows: DataFrame, tile: int) -> int:
+    """So many tasks share the tiles: each row is much work, so they aren't merged by bytes."""
+    spark = rows.sparkSession
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return min(most, math.ceil(grid.rows / tile) * math.ceil(grid.cols / tile))
+
+
+MAPS = "tile_row int, tile_col int, blk int, hit binary, a binary, b binary"
+
+
+def tile_cells(grid: Grid, tile_row: int, tile_col: int, tile: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows and the columns of a tile."""
+    return np.arange(tile_row * tile, min((tile_row + 1) * tile, grid.rows)), np.arange(tile_col * tile, min((tile_col + 1) * tile, grid.cols))
+
+
+def tile_maps(grid: Grid, stamps: DataFrame, profiles: DataFrame, tile: int, block: int) -> DataFrame:
+    """Rows MAPS: the maps h -> a h + b that the stamps of each block of seq make of the heights at the centres of a tile's cells, and which cells they reach.
+
+    Stamps, not their cells, are shuffled: each goes to the tiles its reach touches, so a course-wide one is a row per tile. A task applies the stamps of a
+    tile and block in order to arrays of the tile; however many meet on a tile, a block bounds what a task holds. Profiles, a small fixed table, are
+    joined behind the shuffle."""
+    shape = profiles.select("brush", "shape")
+    reach = F.when(F.col("shape") == "square", F.sqrt(F.col("scale_x") * F.col("scale_x") + F.col("scale_z") * F.col("scale_z"))).otherwise(F.col("scale_x"))
+    known = stamps.select("seq", "x", "z", "scale_x", "scale_z", "value", "brush", "rotation", "tool").join(F.broadcast(shape), "brush").withColumn("reach", reach)
+
+    def tiles(at: str, low: float, cell: float, n: int) -> Column:
+        first, last = F.floor((F.col(at) - F.col("reach") - low) / cell), F.floor((F.col(at) + F.col("reach") - low) / cell)
+        inside = F.sequence(F.floor(F.greatest(first, F.lit(0)) / tile).cast("int"), F.floor(F.least(last, F.lit(n - 1)) / tile).cast("int"))
+        return F.explode(F.when((last >= 0) & (first < n), inside))
+
+    spread = known.withColumn("tile_row", tiles("z", grid.min_z, grid.cell_z, grid.rows)).withColumn("tile_col", tiles("x", grid.min_x, grid.cell_x, grid.cols))
+    keys = ["tile_row", "tile_col", "blk"]
+    dealt = spread.withColumn("blk", F.floor(F.col("seq") / block).cast("int")).repartition(tasks(grid, stamps, tile), *keys).join(F.broadcast(profiles.select("brush", "w")), "brush")
+
+    def apply(table: pa.Table) -> pa.Table:
+        table = table.sort_by("seq")
+        number = {n: table[n].to_numpy() for n in ("x", "z", "scale_x", "scale_z", "value", "brush", "rotation", "tool", "reach")}
+        brush, first = np.unique(number["brush"], return_index=True)
+        profile = {b: np.asarray(table["w"][int(i)].as_py()) for b, i in zip(brush.tolist(), first)}
+        square = {b: table["shape"][int(i)].as_py() == "square" for b, i in zip(brush.tolist(), first)}
+        at = [table[k][0].as_py() for k in keys]
+        rows, cols = tile_cells(grid, at[0], at[1], tile)
+        zs, xs = grid.min_z + (rows + 0.5) * grid.cell_z, grid.min_x + (cols + 0.5) * grid.cell_x
+        a, b, hit = np.ones((len(rows), len(cols))), np.zeros((len(rows), len(cols))), np.zeros((len(rows), len(cols)), bool)
+        for x, z, sx, sz, value, kind, rotation, tool, far in zip(*(v.tolist() for v in number.values())):
+            box = slice(*np.searchsorted(zs, (z - far, z + far + 1e-6))), slice(*np.searchsorted(xs, (x - far, x + far + 1e-6)))
+            dx, dz = (xs[box[1]] - x)[None, :], (zs[box[0]] - z)[:, None]
+            if square[kind]:
+                turn = math.radians(rotation)
+                r = np.maximum(np.abs(dx * math.cos(turn) - dz * math.sin(turn)) / sx, np.abs(dx * math.sin(turn) + dz * math.cos(turn)) / sz)
+            else:
+                r = np.sqrt(dx * dx + dz * dz) / sx
+            on = r <= 1
+            w = np.where(on, weights(profile[kind], r), 0.0)
+            hit[box] |= on
+            if tool != RAISE:
+                a[box] *= 1 - w
+                b[box] *= 1 - w
+            b[box] += value * w
+        numbers = {k: pa.array([v], pa.int32()) for k, v in zip(keys, at)}
+        return pa.table(numbers | {k: pa.array([v.tobytes()], pa.binary()) for k, v in (("hit", hit), ("a", a), ("b", b))})
+
+    return dealt.groupBy(*keys).applyInArrow(apply, MAPS)
+
+
+def render(grid: Grid, stamps: DataFrame, profiles: DataFrame, start: float = 0.0, tile: int = 32, block: int = 16_384) -> DataFrame:
+    """(row, col, h) of every cell a stamp reaches, at cell centres; others keep start and are left out. Blocks of a tile meet as a row of arrays each."""
+
+    def compose(table: pa.Table) -> pa.Table:
+        table = table.sort_by("blk")
+        rows, cols = tile_cells(grid, table["tile_row"][0].as_py(), table["tile_col"][0].as_py(), tile)
+        h, hit = np.full((len(rows), len(cols)), start), np.zeros((len(rows), len(cols)), bool)
+        for on, a, b in zip(*(table[n].to_pylist() for n in ("hit", "a", "b"))):
+            h = np.frombuffer(a).reshape(h.shape) * h + np.frombuffer(b).reshape(h.shape)
+            hit |= np.frombuffer(on, bool).reshape(h.shape)
+        i, j = np.nonzero(hit)
+        return pa.table({"row": rows[i].astype(np.int32), "col": cols[j].astype(np.int32), "h": h[i, j]})
+
+    maps = tile_maps(grid, stamps, profiles, tile, block).repartition(tasks(grid, stamps, tile), "tile_row", "tile_col")
+    return maps.groupBy("tile_row", "tile_col").applyInArrow(compose, "row int, col int, h double")
 
 
 def influence(grid: Grid, stamps: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -290,7 +290,7 @@ def render_affine_partials(spark, d):
 
 @query("render_composed", f"WITH {RENDER} SELECT row, col, round(h, 5) AS h FROM render")
 def render_composed(spark, d):
-    return ST.compose_blocks(ST.affine_blocks(cell_hits(spark, d), ["row", "col"], 100), ["row", "col"]).select("row", "col", r6("h", 5).alias("h"))
+    return ST.render(GRID, A.stamps(spark, d), A.brush_profiles(spark), block=1000).select("row", "col", r6("h", 5).alias("h"))
 
 
 @query("stamp_influence_max", f"WITH {HITS} SELECT row, col, round(max(w), 6) AS w FROM hits WHERE layer = 1 GROUP BY 1, 2")
