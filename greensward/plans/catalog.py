@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators import crowns as CR
 from ..operators import features as FE
 from ..operators import grid as GR
 from ..operators import objects as OB
@@ -557,12 +558,10 @@ def tiles(spark: SparkSession, d: str) -> DataFrame:
 
 @query("tree_detect")
 def tree_detect(spark, d):
-    """Crowns in squares of 500 m: the highest vegetation over the mean ground of each cell of 10 m."""
-    small = GR.Grid(rows=50, cols=50, max_x=500.0, max_z=500.0)
-    x, z = F.col("x"), F.col("z")
-    at = A.points(spark, d).select((F.floor(z / 500) * 4 + F.floor(x / 500)).cast("int").alias("raster"), (x % 500).alias("x"), (z % 500).alias("z"), "elevation", "classification")
-    cells = lambda kinds, f: at.where(F.col("classification").isin(*kinds)).groupBy("raster", small.row_of(F.col("z")).alias("row"), small.col_of(F.col("x")).alias("col")).agg(f("elevation").alias("h"))
-    return RA.trees(cells((2,), F.avg), cells((3, 4, 5), F.max), small)
+    """Crowns of the whole ground in cells of 10 m: the highest vegetation over the mean ground; raster is the square of 500 m they stand in."""
+    grid, at = GR.Grid(rows=200, cols=200), A.points(spark, d)
+    found = CR.trees(GR.ground(at, grid, (2,)), GR.canopy(at, grid), grid, outlier=500.0, tile=64)
+    return found.select((F.floor(F.col("z") / 500) * 4 + F.floor(F.col("x") / 500)).cast("int").alias("raster"), "x", "z", "radius", "height")
 
 
 @query("scatter_refine")
