@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from .compositing import boxed_cells
 from .grid import Grid
+from .outlines import region_rings, ring_edges
+from .refine import deepest_first
 from .spatial import over_bins
+from .staging import cut
+from .tiled import denoised, nearest_values
 
 #: Fixed value: the share of a square brush's radius at full weight.
 PLATEAU = 500 / 512
@@ -46,9 +50,41 @@ def edge_rectangles(edges: DataFrame, reach: float, least: float, samples: int =
     return long_.select(*key, centre("x1", "x2", "nx").alias("x"), centre("z1", "z2", "nz").alias("z"), (F.col("width") / 2 / plateau).alias("scale_x"), (F.col("length") / 2 / plateau).alias("scale_z"), F.degrees(F.atan2("nx", "nz")).alias("rotation"))
 
 
+def rectangle_cells(rectangles: DataFrame, grid: Grid) -> DataFrame:
+    """rectangles with each cell (row, col) whose centre lies in the turned rectangle."""
+    angle, dx, dz = F.radians("rotation"), grid.centre_x(F.col("col")) - F.col("x"), grid.centre_z(F.col("row")) - F.col("z")
+    return boxed_cells(grid, rectangles).where((F.abs(dx * F.cos(angle) - dz * F.sin(angle)) <= F.col("scale_x")) & (F.abs(dx * F.sin(angle) + dz * F.cos(angle)) <= F.col("scale_z")))
+
+
 def rectangle_values(rectangles: DataFrame, raster: DataFrame, grid: Grid, keys: list[str]) -> DataFrame:
     """(keys, n, value): the mean of the cells with data whose centres lie in each turned rectangle; null where there are none."""
-    angle, dx, dz = F.radians("rotation"), grid.centre_x(F.col("col")) - F.col("x"), grid.centre_z(F.col("row")) - F.col("z")
-    cells = boxed_cells(grid, rectangles).where((F.abs(dx * F.cos(angle) - dz * F.sin(angle)) <= F.col("scale_x")) & (F.abs(dx * F.sin(angle) + dz * F.cos(angle)) <= F.col("scale_z")))
+    cells = rectangle_cells(rectangles, grid)
     means = cells.select(*keys, "row", "col").join(raster.select("row", "col", "h"), ["row", "col"]).groupBy(*keys).agg(F.count("h").alias("n"), F.avg("h").alias("value"))
     return rectangles.select(*keys).join(means, keys, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
+def fallline_stamps(banded: DataFrame, grid: Grid, reach: float = 60.0, least: float = 25.0, tolerance: float = 1.5, samples: int = 5, denoise: int = 1, crumb_radius: float = 16.0, crumb_share: float = 0.25, tile: int = 64, least_cells: int = 3) -> DataFrame:
+    """(band, pass, region, ring, i, row, col, x, z, scale_x, scale_z, rotation, value) of the bands (band, row, col, h): a rectangle for each edge of the simplified
+    boundaries of a band's regions and their holes (pass 1), then discs on the cells of the band that no rectangle holds, from the deepest (pass 2; region is null).
+
+    A rectangle's value is the mean of its cells with data; without any, and for discs, that of the nearest cell with data about the middle."""
+    size = grid.rows * grid.cols
+    mask = cut(denoised(banded.where("h IS NOT NULL"), grid, denoise, key="band").select("band", "row", "col"))
+    rings = cut(region_rings(mask, grid, tolerance, least_cells, tile, "band"))
+    edges = ring_edges(rings, ["region", "ring", "hole"])
+    key = ["region", "ring", "i"]
+    found = cut(edge_rectangles(edges, reach, least, samples).withColumn("band", F.floor((F.col("region") - 1) / size).cast("int")))
+    held = rectangle_cells(found, grid).select("band", "row", "col").distinct()
+    claim = max(crumb_share * crumb_radius, 1.5 * max(grid.cell_x, grid.cell_z))
+    crumbs = deepest_first(mask.join(held, ["band", "row", "col"], "left_anti"), grid, claim, "band", tile)
+    raster = banded.select("row", "col", "h")
+    inner = lambda v, low, cell, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), ((v - low) / cell).cast("int")))
+    means = rectangle_values(found, raster, grid, key).select(*key, F.col("value").alias("mean"))
+    placed = found.withColumns({"row": inner(F.col("z"), grid.min_z, grid.cell_z, grid.rows), "col": inner(F.col("x"), grid.min_x, grid.cell_x, grid.cols)}).join(means, key).withColumn("pass", F.lit(1))
+    none = F.lit(None).cast("long")
+    discs = crumbs.select("band", "row", "col", none.alias("region"), none.alias("ring"), none.alias("i"), grid.centre_x(F.col("col")).alias("x"), grid.centre_z(F.col("row")).alias("z"), F.lit(float(crumb_radius)).alias("scale_x"), F.lit(float(crumb_radius)).alias("scale_z"), F.lit(0.0).alias("rotation"), F.lit(None).cast("double").alias("mean"), F.lit(2).alias("pass"))
+    both = cut(placed.select(*discs.columns).unionByName(discs))
+    bare = both.where("mean IS NULL").select("row", "col").distinct().withColumn("site", F.struct("row", "col"))
+    near = nearest_values(bare, raster, "site").select("site.row", "site.col", F.col("value").alias("near"))
+    out = both.join(near, ["row", "col"], "left").withColumn("value", F.coalesce("mean", "near"))
+    return out.select("band", "pass", "region", "ring", "i", "row", "col", "x", "z", "scale_x", "scale_z", "rotation", "value")

@@ -52,9 +52,9 @@ def first_free(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(n): of nodes (n) those that are taken if they are gone through in order and one is left out that an edge (a, b), a < b, joins with one taken."""
     left, taken = cut(nodes.select("n")), []
     edges = cut(edges)
-    while left.limit(1).count():
+    while not left.isEmpty():
         now = cut(left.join(edges.select(F.col("b").alias("n")), "n", "left_anti"))
-        out = cut(edges.join(now.withColumnRenamed("n", "a"), "a", "left_semi").select(F.col("b").alias("n")).distinct())
+        out = edges.join(now.withColumnRenamed("n", "a"), "a", "left_semi").select(F.col("b").alias("n")).distinct()
         taken.append(now)
         gone = now.unionByName(out)
         left = cut(left.join(gone, "n", "left_anti"))

@@ -23,7 +23,7 @@ def pruned(stamps: DataFrame, hits: DataFrame, tolerance: float = 1e-3, eps: flo
     state = cut(stamps.select("seq").join(matters, "seq", "left").select("seq", F.when(F.col("open"), F.lit(None)).otherwise(True).alias("keep")))
     later = W.partitionBy("row", "col").orderBy(F.desc("seq")).rowsBetween(W.unboundedPreceding, -1)
     left = F.when(F.col("flatten"), 1 - F.col("w")).otherwise(1.0)
-    while state.where("keep IS NULL").limit(1).count():
+    while not state.where("keep IS NULL").isEmpty():
         met = cells.join(state, "seq").where("keep IS NULL OR keep")
         high = F.coalesce(F.product(F.when(F.col("keep"), left).otherwise(1.0)).over(later), F.lit(1.0))
         low = F.coalesce(F.product(left).over(later), F.lit(1.0))

@@ -224,9 +224,9 @@ def deepest_first(mask: DataFrame, grid: Grid, claim: float, key: str, tile: int
         found = cut(window_rows(state, known, grid, how, tile, halo, [key]).groupBy(key, "tile_row", "tile_col").applyInPandas(run, f"{key} {kind}, {FOUND}"))
         here = found.where("row IS NOT NULL").drop("claims")
         known = here if known is None else known.unionByName(here)
-        if not found.where("row IS NULL").limit(1).count():
+        if found.where("row IS NULL").isEmpty():
             return known.select(key, "row", "col", "depth")
-        if not here.limit(1).count():
+        if here.isEmpty():
             halo *= 2
 
 
@@ -281,8 +281,8 @@ def hotspots(stamps: DataFrame, raster: DataFrame, fine: Grid, coarse: Grid, pro
                     state = cut(after.withColumn("error", F.col("now") - F.col("actual")).withColumn("done", F.col("done") | F.coalesce("_claimed", F.lit(False))).drop("a", "b", "_claimed"))
             base = cut(base.unionByName(added))
         known = places if known is None else known.unionByName(places)
-        some = here.limit(1).count()
-        if not found.where("row IS NULL").limit(1).count() and not (rebuild and some):
+        some = not here.isEmpty()
+        if found.where("row IS NULL").isEmpty() and not (rebuild and some):
             break
         halo, rounds = halo if some else 2 * halo, rounds + 1
     if rebuild:

@@ -35,6 +35,8 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
     In a round each node takes the smallest label beside it, hands it on to the node its own label names, and follows its label one step, so
     that long chains take few rounds. Only minima per node are shuffled."""
     both = cut(edges.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct())
+    if both.isEmpty():
+        return both.select(F.col("a").alias("node"), F.col("b").alias("least"))
     label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("least")))
     while True:
         beside = both.join(label.select(F.col("node").alias("b"), "least"), "b").groupBy(F.col("a").alias("node")).agg(F.min("least").alias("seen"))
@@ -42,7 +44,7 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
         handed = here.select("node", "to").unionByName(here.select(F.col("least").alias("node"), "to")).groupBy("node").agg(F.min("to").alias("least"))
         up = handed.select(F.col("node").alias("least"), F.col("least").alias("up"))
         after = cut(handed.join(up, "least", "left").select("node", F.least("least", F.coalesce("up", "least")).alias("least")))
-        if not after.join(label.withColumnRenamed("least", "before"), "node").where("least <> before").limit(1).count():
+        if after.join(label.withColumnRenamed("least", "before"), "node").where("least <> before").isEmpty():
             return after
         label = after
 

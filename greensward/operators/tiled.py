@@ -211,7 +211,7 @@ def relaxed(dense: DataFrame, grid: Grid, rounds: int, tolerance: float, tile: i
         windows = in_windows(dense.select("row", "col", "h", "known"), tile, min(halo, max(grid.rows, grid.cols)))
         inside = windows.where(F.col("tile_row").between(0, (grid.rows - 1) // tile) & F.col("tile_col").between(0, (grid.cols - 1) // tile))
         dense = cut(inside.groupBy("tile_row", "tile_col").applyInPandas(run, "row int, col int, h double, known boolean, change double"))
-        if not dense.where(F.col("change") >= tolerance).limit(1).count():
+        if dense.where(F.col("change") >= tolerance).isEmpty():
             break
     return dense.select("row", "col", "h", "known")
 
@@ -223,13 +223,17 @@ def nearest_values(sites: DataFrame, raster: DataFrame, key: str, far: int = 50)
     here = sites.select(key, "row", "col").join(known, ["row", "col"], "left")
     parts, left = [here.where("h IS NOT NULL").select(key, F.col("h").alias("value"))], cut(here.where("h IS NULL").select(key, "row", "col"))
     for reach in (min(2, far), far):
+        if left.isEmpty():
+            break
         step = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
         around = left.withColumn("dr", step).withColumn("dc", step).select(key, "dr", "dc", (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"))
         order = F.struct(F.greatest(F.abs("dr"), F.abs("dc")).alias("square"), (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d"), "row", "col")
         parts.append(cut(around.join(known, ["row", "col"]).groupBy(key).agg(F.min_by("h", order).alias("value"))))
         left = cut(left.join(parts[-1], key, "left_anti"))
-    found = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return found.unionByName(left.select(key, F.lit(0.0).alias("value")))
+    out = left.select(key, F.lit(0.0).alias("value"))
+    for part in parts:
+        out = out.unionByName(part)
+    return out
 
 
 def gap_filled(raster: DataFrame, grid: Grid, rounds: int = 200, tolerance: float = 1e-4, smallest: int = 32, tile: int = 256, halo: int = 32) -> DataFrame:

@@ -574,11 +574,6 @@ def rect_fill(spark, d):
     return RA.rectangles(tiles(spark, d), TILE)
 
 
-@query("outlines")
-def outlines(spark, d):
-    return RA.outlines(tiles(spark, d).where("h > 260"), TILE)
-
-
 #: One stamp after the other, the newest first; rows of t: what is left of a cell, at -1 how many stamps are done, below whether a stamp is gone.
 PRUNE = f"""{HITS}, h AS MATERIALIZED (SELECT seq, (row * 100 + col)::BIGINT AS id, w FROM hits), ord AS MATERIALIZED (SELECT seq, tool, row_number() OVER (ORDER BY seq DESC) AS k FROM stamps),
 t(id, v) USING KEY (id) AS (SELECT DISTINCT id, 1.0::DOUBLE FROM h UNION ALL SELECT -1, 0.0::DOUBLE

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators import fallline as FL
 from ..operators import grid as GR
 from ..operators import packing as PA
 from ..operators import refine as RE
@@ -72,3 +73,14 @@ def crumb_cover(spark, d):
 def contour_poisson(spark, d):
     """Bands closed and rid of specks, packed and filled; tests hold its parts against plain loops."""
     return PA.contour_stamps(GR.with_bands(C.ground(spark, d), 40.0), C.GRID)
+
+
+@C.query("fallline_cover", f"WITH {MASKS} SELECT band, count(*) AS cells, 0::BIGINT AS bare FROM masks GROUP BY band")
+def fallline_cover(spark, d):
+    """Of each band its cells, and how many neither a rectangle from an edge nor a disc holds."""
+    bands = GR.with_bands(GR.downsample(C.ground(spark, d), C.GRID, COARSE), 15.0)
+    stamps = FL.fallline_stamps(bands, COARSE, 400.0, 100.0, 40.0, denoise=0, crumb_radius=480.0, tile=10)
+    held = FL.rectangle_cells(stamps.where(F.col("pass") == 1), COARSE).select("band", "row", "col")
+    held = held.unionByName(PA.covered_cells(stamps.where(F.col("pass") == 2), "band", COARSE, F.lit(120.0)))
+    bare = bands.join(held.distinct(), ["band", "row", "col"], "left_anti").groupBy("band").agg(F.count("*").alias("bare"))
+    return bands.groupBy("band").agg(F.count("*").alias("cells")).join(bare, "band", "left").select("band", "cells", F.coalesce("bare", F.lit(0).cast("long")).alias("bare"))

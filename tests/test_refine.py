@@ -73,7 +73,6 @@ def table(spark, h):
         (2, 8, 8, {"claim": 0.5}),
         (3, 16, 8, {"planar": 1.5, "smallest": 2.0, "largest": 9.0}),
         (4, 5, 2, {"least_points": 9, "least_cells": 2.0}),
-        (5, 64, 32, {}),
     ],
 )
 def test_windows_find_what_the_loop_finds(spark, seed, tile, halo, more):
