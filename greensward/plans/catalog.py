@@ -253,9 +253,10 @@ def binary_closing(spark, d):
 # -- stamps
 
 
-@query("hex_lattice", "WITH r AS (SELECT i AS row, CASE WHEN i % 2 = 1 THEN 50.0::DOUBLE ELSE 0 END AS first FROM range(24) t(i)), s AS (SELECT row, first + k * 100 AS x, (2000 - 23 * sqrt(3) * 50) / 2 + row * sqrt(3) * 50 AS z FROM r, range(-1, 22) u(k) WHERE first + k * 100 >= -50 - 1e-9 AND first + k * 100 <= 2050 + 1e-9) SELECT round(x, 6) AS x, round(z, 6) AS z FROM s")
+@query("hex_lattice", f"WITH {GROUND}, r AS (SELECT i AS row, CASE WHEN i % 2 = 1 THEN 50.0::DOUBLE ELSE 0 END AS first FROM range(24) t(i)), s AS (SELECT row, first + k * 100 AS x, (2000 - 23 * sqrt(3) * 50) / 2 + row * sqrt(3) * 50 AS z FROM r, range(-1, 22) u(k) WHERE first + k * 100 >= -50 - 1e-9 AND first + k * 100 <= 2050 + 1e-9) SELECT round(x, 6) AS x, round(z, 6) AS z, round(h, 6) AS h FROM s LEFT JOIN ground g ON g.row = greatest(0, least(99, trunc(z / 20)))::INT AND g.col = greatest(0, least(99, trunc(x / 20)))::INT")
 def hex_lattice(spark, d):
-    return ST.hex_lattice(spark, GRID).select(r6("x").alias("x"), r6("z").alias("z"))
+    """The lattice over the course, and the ground at its sites."""
+    return GR.sample_nearest(ST.hex_lattice(spark, GRID), ground(spark, d), GRID).select(r6("x").alias("x"), r6("z").alias("z"), r6("h").alias("h"))
 
 
 @query("raster_lattice", f"WITH {GROUND} SELECT i // 32 AS row, i % 32 AS col, (i % 32 * 64)::DOUBLE AS x, (i // 32 * 64)::DOUBLE AS z, round(h, 6) AS value FROM (SELECT i::INT AS i FROM range(1024) t(i)) JOIN ground g ON g.row = greatest(0, least(99, i // 32 * 64 // 20)) AND g.col = greatest(0, least(99, i % 32 * 64 // 20))")
@@ -263,15 +264,18 @@ def raster_lattice(spark, d):
     return ST.raster_lattice(spark, ground(spark, d), GRID, 64.0).select("row", "col", "x", "z", r6("value").alias("value"))
 
 
-@query("brush_weight_lookup", f"WITH {BRUSHES} SELECT brush::INT AS brush, k, round({WEIGHT}, 9) AS w FROM (SELECT *, k / 40.0::DOUBLE AS r FROM brushes, (SELECT i::INT AS k FROM range(41) t(i)))")
+@query("brush_weight_lookup", f"WITH {STAMPS}, {BRUSHES} SELECT seq, brush::INT AS brush, k, round({WEIGHT}, 9) AS w FROM (SELECT *, (seq % 41)::INT AS k, (seq % 41) / 40.0::DOUBLE AS r FROM stamps JOIN brushes USING (brush))")
 def brush_weight_lookup(spark, d):
-    b = A.brush_profiles(spark).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(40))))
-    return b.select("brush", "k", F.round(ST.kernel(F.col("w"), F.col("k") / 40.0), 9).alias("w"))
+    """The weight of each stamp's brush at a place between its centre and its edge."""
+    s = A.stamps(spark, d).withColumn("k", (F.col("seq") % 41).cast("int")).join(F.broadcast(A.brush_profiles(spark)), "brush")  # a fixed handful of brushes
+    return s.select("seq", "brush", "k", F.round(ST.kernel(F.col("w"), F.col("k") / 40.0), 9).alias("w"))
 
 
-@query("plateau_fraction", f"WITH {BRUSHES}, w AS (SELECT brush, i, least(1.0::DOUBLE, (1 - i / 255.0::DOUBLE) / (1 - plateau)) AS w FROM brushes, range(256) t(i)) SELECT brush::INT AS brush, round(CASE WHEN max(w) < 0.95 THEN 0 ELSE coalesce(min(i) FILTER (WHERE w < 0.95) / 255, 1) END, 9) AS plateau FROM w GROUP BY brush")
+@query("plateau_fraction", f"WITH {STAMPS}, {BRUSHES}, w AS (SELECT brush, i, least(1.0::DOUBLE, (1 - i / 255.0::DOUBLE) / (1 - plateau)) AS w FROM brushes, range(256) t(i)), p AS (SELECT brush, CASE WHEN max(w) < 0.95 THEN 0 ELSE coalesce(min(i) FILTER (WHERE w < 0.95) / 255, 1) END AS plateau FROM w GROUP BY brush) SELECT seq, round(plateau * scale_x, 9) AS reach FROM stamps JOIN p USING (brush)")
 def plateau_fraction(spark, d):
-    return A.brush_profiles(spark).select("brush", F.round(ST.plateau_share(F.col("w")), 9).alias("plateau"))
+    """How far from its centre each stamp still has full weight."""
+    s = A.stamps(spark, d).join(F.broadcast(A.brush_profiles(spark)), "brush")
+    return s.select("seq", F.round(ST.plateau_share(F.col("w")) * F.col("scale_x"), 9).alias("reach"))
 
 
 @query("render_fold", f"WITH {RENDER} SELECT row, col, round(h, 6) AS h FROM render")
@@ -384,7 +388,17 @@ def clip_area(spark, d):
     return c.where(F.abs(F.col("area") - F.col("full")) < 1e-6).select("poly", r6("area", 5).alias("area"))
 
 
-@query("clipped_areas")
+#: The area of a diamond left of x = a and below z = b about its centre is a sum of integrals over its columns, whose closed form is g; the box takes four of them.
+def _column_area(t: str) -> str:
+    m = f"least({t}, greatest(0, least(rad, rad - abs(b))))"
+    return f"((b + rad) * {m} - {m} * {m} / 2 + CASE WHEN b >= 0 THEN 2 * rad * ({t} - {m}) - ({t} * {t} - {m} * {m}) ELSE 0 END)"
+
+
+CLIPPED = f"""corners AS (SELECT poly, rad, cx, cz, x - cx AS a, z - cz AS b, sign FROM polygons, (VALUES (1800.0::DOUBLE, 1800.0::DOUBLE, 1), (200, 1800, -1), (1800, 200, -1), (200, 200, 1)) v(x, z, sign)),
+q AS (SELECT poly, sign, {_column_area('rad')} AS half, {_column_area('least(abs(a), rad)')} AS part, a FROM corners), areas AS (SELECT poly, sum(sign * CASE WHEN a >= 0 THEN half + part ELSE half - part END) AS area FROM q GROUP BY poly)"""
+
+
+@query("clipped_areas", f"WITH {POLYGONS}, {CLIPPED} SELECT poly, round(area, 5) AS area FROM areas WHERE area > 1e-6")
 def clipped_areas(spark, d):
     """All polygons that reach into the box, those the box cuts too."""
     c = FE.clipped_rings(A.polygons(spark, d), (200.0, 200.0, 1800.0, 1800.0))

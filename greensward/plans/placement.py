@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import fitting as FI
+from ..operators import grid as GR
 from ..operators import objects as OB
 from ..operators import placement as PL
 from ..operators import raster as RA
@@ -100,10 +101,12 @@ def hex_masked(spark, d):
     return PL.masked_sites(hex_sites(spark), A.polygons(spark, d).select("poly", "ring"), "site").select("site")
 
 
-@C.query("hex_holes", f"""WITH {HEX}, p AS (SELECT a.site AS p, b.site AS q, a.x AS ax, a.z AS az, b.x AS bx, b.z AS bz FROM sites a JOIN sites b ON a.site < b.site AND abs(sqrt(pow(a.x - b.x, 2) + pow(a.z - b.z, 2)) - 100) < 2)
+@C.query("hex_holes", f"""WITH {C.GROUND}, {HEX.replace('sites AS', 'lattice AS')}, sites AS (SELECT site, x, z FROM lattice JOIN ground g ON g.row = greatest(0, least(99, trunc(z / 20)))::INT AND g.col = greatest(0, least(99, trunc(x / 20)))::INT), p AS (SELECT a.site AS p, b.site AS q, a.x AS ax, a.z AS az, b.x AS bx, b.z AS bz FROM sites a JOIN sites b ON a.site < b.site AND abs(sqrt(pow(a.x - b.x, 2) + pow(a.z - b.z, 2)) - 100) < 2)
 SELECT DISTINCT round((a.ax + a.bx + b.bx) / 3, 3) AS x, round((a.az + a.bz + b.bz) / 3, 3) AS z FROM p a JOIN p b ON a.p = b.p AND a.q < b.q JOIN p c ON c.p = a.q AND c.q = b.q""")
 def hex_holes(spark, d):
-    return PL.deep_holes(hex_sites(spark), 50.0)
+    """The holes between sites that stand on cells with data."""
+    sites = GR.sample_nearest(hex_sites(spark), C.ground(spark, d), C.GRID).where("h IS NOT NULL").select("site", "x", "z")
+    return PL.deep_holes(sites, 50.0)
 
 
 @C.query("ball_query", f"WITH {C.POINTS}, {C.POLYGONS} SELECT poly, count(*) AS n, round(avg(elevation), 6) AS mean FROM polygons JOIN points ON x BETWEEN cx - 25 AND cx + 25 AND z BETWEEN cz - 25 AND cz + 25 AND pow(x - cx, 2) + pow(z - cz, 2) <= 625 GROUP BY 1")
@@ -119,9 +122,9 @@ def preview_sample(spark, d):
     return PL.sampled(A.trees(spark, d).select("tree", "x", "z"), "tree", 500)
 
 
-@C.query("unused_id", "WITH f AS (SELECT DISTINCT -(p_partkey - p_partkey // 100) AS id FROM part WHERE p_partkey % 100 <> 50) SELECT max(c) AS osm_id FROM (SELECT -i AS c FROM range(1, (SELECT count(*) + 2 FROM f)) t(i)) WHERE c NOT IN (SELECT id FROM f)")
+@C.query("unused_id", "WITH f AS (SELECT DISTINCT -(p_partkey + p_partkey // 50) AS id FROM part) SELECT max(c) AS osm_id FROM (SELECT -i AS c FROM range(1, (SELECT count(*) + 2 FROM f)) t(i)) WHERE c NOT IN (SELECT id FROM f)")
 def unused_id(spark, d):
-    ids = A.table(spark, d, "part").where("p_partkey % 100 <> 50").select(F.expr("-(p_partkey - p_partkey div 100)").alias("osm_id"))
+    ids = A.table(spark, d, "part").select(F.expr("-(p_partkey + p_partkey div 50)").alias("osm_id"))  # 50 is free
     return PL.unused_negative_id(ids)
 
 

@@ -90,7 +90,7 @@ def test_windows_find_what_the_loop_finds(spark, seed, tile, halo, more):
 
 def test_windows_alone_agree_with_the_loop_on_many_rasters():
     """The rounds of windows without Spark: rows of each window as the operators make them."""
-    for seed in range(24):
+    for seed in range(12):
         rng = np.random.default_rng(seed)
         shape = tuple(int(n) for n in rng.integers(6, 22, 2))
         h = ground(seed, shape, int(rng.integers(0, 4)))
