@@ -7,6 +7,8 @@ Candidates meet in bins as wide as the earlier one's reach, a level of bins for
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,19 +52,16 @@ def conflicts(rows: DataFrame, key: str, grid: Grid, radii: list[float], plateau
 
 def first_free(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(n): of nodes (n) those that are taken if they are gone through in order and one is left out that an edge (a, b), a < b, joins with one taken."""
-    left, taken = cut(nodes.select("n")), []
-    edges = cut(edges)
-    while not left.isEmpty():
-        now = cut(left.join(edges.select(F.col("b").alias("n")), "n", "left_anti"))
-        out = edges.join(now.withColumnRenamed("n", "a"), "a", "left_semi").select(F.col("b").alias("n")).distinct()
-        taken.append(now)
-        gone = now.unionByName(out)
-        left = cut(left.join(gone, "n", "left_anti"))
-        edges = cut(edges.join(gone.withColumnRenamed("n", "a"), "a", "left_anti").join(out.withColumnRenamed("n", "b"), "b", "left_anti"))
-    every = left
-    for t in taken:
-        every = every.unionByName(t)
-    return every
+    edges, left_out = cut(edges), []
+    while not edges.isEmpty():
+        behind = edges.select(F.col("b").alias("a")).distinct()  # those before which another is still open wait
+        out = cut(edges.join(behind, "a", "left_anti").select("b").distinct())
+        left_out.append(out.select(F.col("b").alias("n")))
+        edges = cut(edges.join(out, "b", "left_anti").join(out.withColumnRenamed("b", "a"), "a", "left_anti").select("a", "b"))
+    taken = nodes.select("n")
+    if left_out:
+        taken = taken.join(reduce(DataFrame.unionByName, left_out), "n", "left_anti")
+    return taken
 
 
 def covered_cells(discs: DataFrame, key: str, grid: Grid, reach: Column) -> DataFrame:
