@@ -241,6 +241,12 @@ def gap_filled(raster: DataFrame, grid: Grid, rounds: int = 200, tolerance: floa
 
     The raster is halved until a side would be under `smallest`; the coarsest level starts from the nearest cells with data and may take four times
     the rounds, a finer one from the level before. A raster without any data gives no heights (null)."""
+    raster = cut(raster.where("h IS NOT NULL").select("row", "col", "h"))
+    n = raster.count()
+    if n == 0:
+        return grid.cells(raster.sparkSession).withColumns({"h": F.lit(None).cast("double"), "known": F.lit(False)})
+    if n == grid.rows * grid.cols:
+        return raster.withColumn("known", F.lit(True))
     grids = [grid]
     while max(grids[-1].rows, grids[-1].cols) > smallest:
         rows, cols = (max(min(n, smallest), n // 2) for n in (grids[-1].rows, grids[-1].cols))
@@ -253,8 +259,5 @@ def gap_filled(raster: DataFrame, grid: Grid, rounds: int = 200, tolerance: floa
         else:
             known = level.where("h IS NOT NULL").select("row", "col", F.col("h").alias("own"))
             start = finer(out, grids[k + 1], grids[k]).join(known, ["row", "col"], "left").select("row", "col", F.coalesce("own", "h").alias("h"), F.col("own").isNotNull().alias("known"))
-        start = cut(start)
-        if out is None and not start.where("h IS NOT NULL").limit(1).count():
-            return grid.cells(raster.sparkSession).withColumns({"h": F.lit(None).cast("double"), "known": F.lit(False)})
-        out = relaxed(start, grids[k], rounds * (4 if k == len(grids) - 1 else 1), tolerance, tile, halo)
+        out = relaxed(cut(start), grids[k], rounds * (4 if k == len(grids) - 1 else 1), tolerance, tile, halo)
     return out
