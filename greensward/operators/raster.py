@@ -76,35 +76,6 @@ def cells_of(value: np.ndarray, name: str, where: np.ndarray | None = None) -> p
     return pd.DataFrame({"row": rows.astype(np.int32), "col": cols.astype(np.int32), name: value[rows, cols]})
 
 
-def filled(raster: DataFrame, grid: Grid, key: str = "raster") -> DataFrame:
-    return per_raster(raster, key, grid, lambda h: cells_of(K.filled(h), "h"), "row int, col int, h double")
-
-
-def distances(raster: DataFrame, grid: Grid, key: str = "raster") -> DataFrame:
-    """(key, row, col, d): metres from each cell with data to the nearest without."""
-    return per_raster(raster, key, grid, lambda h: cells_of(K.distance_transform(~np.isnan(h), (grid.cell_z, grid.cell_x)), "d", ~np.isnan(h)), "row int, col int, d double")
-
-
-def components(raster: DataFrame, grid: Grid, key: str = "raster", eight: bool = False) -> DataFrame:
-    """(key, row, col, label): connected cells with data; a label is 1 + the row-major place of the component's first cell."""
-    return per_raster(raster, key, grid, lambda h: cells_of(K.labels(~np.isnan(h), eight).astype(np.int64), "label", ~np.isnan(h)), "row int, col int, label long")
-
-
-def trees(ground: DataFrame, canopy: DataFrame, grid: Grid, key: str = "raster") -> DataFrame:
-    """(key, x, z, radius, height) of crowns; ground is filled first where it has gaps."""
-    both = ground.select(key, "row", "col", F.col("h").alias("g")).join(canopy.select(key, "row", "col", F.col("h").alias("c")), [key, "row", "col"], "full")
-    kind = ground.schema[key].dataType.simpleString()
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        g, c = np.full((2, grid.rows, grid.cols), np.nan)
-        g[frame["row"], frame["col"]], c[frame["row"], frame["col"]] = frame["g"].to_numpy(float), frame["c"].to_numpy(float)
-        found = K.detect_trees(K.filled(g), c, grid.cell_x)
-        out = pd.DataFrame(found, columns=["row", "col", "radius", "height"])
-        return pd.DataFrame({key: frame[key].iloc[0], "x": grid.min_x + (out["col"] + 0.5) * grid.cell_x, "z": grid.min_z + (out["row"] + 0.5) * grid.cell_z, "radius": out["radius"], "height": out["height"]})
-
-    return both.groupBy(key).applyInPandas(run, f"{key} {kind}, x double, z double, radius double, height double")
-
-
 def contour_stamps(banded: DataFrame, grid: Grid, largest: float = 50.0, smallest: float = 10.0, ratio: float = 0.85, plateau: float = 0.5, candidates: int = 2000, seed: int = 1, denoise: int = 1, edge: float = 0.0, crumb_radius: float = 16.0, crumb_share: float = 0.25) -> DataFrame:
     """(band, pass, idx, x, z, radius, value): for each band (band, row, col, h) discs whose plateaus don't overlap, then smaller stamps on what
     is left. A stamp's value is that of the nearest cell with data to its centre. Bands are groups of their own, seeded by seed + band, so the result doesn't depend on how they are run."""
@@ -164,38 +135,6 @@ def rectangles(raster: DataFrame, grid: Grid, key: str = "raster", least: int =
     return per_raster(raster, key, grid, run, "idx int, row int, col int, rows int, cols int")
 
 
-def outlines(raster: DataFrame, grid: Grid, key: str = "raster", tolerance: float = 1.5, least: int = 3) -> DataFrame:
-    """(key, label, i, x, z): the simplified outer boundary of each component of at least so many cells."""
-
-    def run(h: np.ndarray) -> pd.DataFrame:
-        label, out = K.labels(~np.isnan(h)), []
-        for k in np.unique(label[label > 0]):
-            region = label == k
-            if region.sum() < least:
-                continue
-            line = np.array(K.boundary(region, divmod(int(k) - 1, grid.cols)), float)
-            for i, (r, c) in enumerate(K.simplified(line, tolerance / grid.cell_x)):
-                out.append((int(k), i, grid.min_x + (c + 0.5) * grid.cell_x, grid.min_z + (r + 0.5) * grid.cell_z))
-        return pd.DataFrame(out, columns=["label", "i", "x", "z"])
-
-    return per_raster(raster, key, grid, run, "label long, i int, x double, z double")
-
-
-def pruned(stamps: DataFrame, hits: DataFrame, key: str, grid: Grid) -> DataFrame:
-    """(key, seq, keep): hits (key, seq, row, col, w) are the cells each stamp (key, seq, tool) reaches."""
-    kind = stamps.schema[key].dataType.simpleString()
-    per = hits.groupBy(key, "seq").agg(F.collect_list(F.struct((F.col("row") * grid.cols + F.col("col")).alias("c"), "w")).alias("cells"))
-    joined = stamps.select(key, "seq", "tool").join(per, [key, "seq"], "left")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq")
-        weights = [(np.array([c["c"] for c in cells], int), np.array([c["w"] for c in cells])) if cells is not None else (np.zeros(0, int), np.zeros(0)) for cells in frame["cells"]]
-        keep = K.prune(weights, (frame["tool"] == 0).tolist(), grid.rows * grid.cols)
-        return pd.DataFrame({key: frame[key], "seq": frame["seq"], "keep": keep})
-
-    return joined.groupBy(key).applyInPandas(run, f"{key} {kind}, seq long, keep boolean")
-
-
 def packed_circles(polygons: DataFrame, radius: float, ratio: float = 1.0, seed: int = 1, key: str = "poly") -> DataFrame:
     """(key, idx, x, z, radius) of circles thrown into each polygon; seeded by seed and key."""
     kind = polygons.schema[key].dataType.simpleString()
@@ -226,17 +165,3 @@ def scattered(raster: DataFrame, grid: Grid, radius: float, key: str = "raster",
         return pd.DataFrame(rows, columns=[key, "idx", "x", "z", "radius", "value", "rank"])
 
     return sized.groupBy(key).applyInPandas(run, f"{key} {kind}, idx int, x double, z double, radius double, value double, rank int")
-
-
-def hotspots(actual: DataFrame, predicted: DataFrame, grid: Grid, smallest: float, largest: float, key: str = "raster", **more: float) -> DataFrame:
-    """(key, idx, x, z, radius, error, target) of the places of each raster where predicted is off the most widely, in order."""
-    both = actual.select(key, "row", "col", F.col("h").alias("a")).join(predicted.select(key, "row", "col", F.col("h").alias("p")), [key, "row", "col"])
-    kind = actual.schema[key].dataType.simpleString()
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        a, p = np.full((2, grid.rows, grid.cols), np.nan)
-        a[frame["row"], frame["col"]], p[frame["row"], frame["col"]] = frame["a"].to_numpy(float), frame["p"].to_numpy(float)
-        rows = [(frame[key].iloc[0], i, grid.min_x + (c + 0.5) * grid.cell_x, grid.min_z + (r + 0.5) * grid.cell_z, q, e, t) for i, (r, c, q, e, t) in enumerate(K.refine(a, p, grid.cell_x, smallest, largest, **more))]
-        return pd.DataFrame(rows, columns=[key, "idx", "x", "z", "radius", "error", "target"])
-
-    return both.groupBy(key).applyInPandas(run, f"{key} {kind}, idx int, x double, z double, radius double, error double, target double")
