@@ -110,7 +110,9 @@ class Window:
         depth = np.where(flagged, depths(flagged, grid.cell_z, grid.cell_x), 0.0)
         farthest = how.largest * how.claim
         seen = how.largest + np.hypot(grid.cell_z, grid.cell_x)  # the points of a stamp's surroundings are in the window
-        uncertain = flagged & (self.edge <= np.maximum(depth + farthest, seen))
+        uncertain = flagged & (self.edge <= np.maximum(depth + farthest, seen)) & np.isfinite(self.edge)
+        if np.isinf(self.edge).all():  # the window is the whole raster: where every cell is flagged there is no depth, and no deepest place
+            flagged &= np.isfinite(depth)
         least = how.least_cells * min(grid.cell_z, grid.cell_x)
         key = np.where(flagged & (depth >= least), depth, -1.0)
 
