@@ -212,7 +212,8 @@ def certain_hotspots(state: DataFrame, known: DataFrame | None, raster: DataFram
 
 def deepest_first(mask: DataFrame, grid: Grid, claim: float, key: str, tile: int = 64, halo: int = 32) -> DataFrame:
     """(key, row, col, depth) of cells that cover each mask (key, row, col) by discs of radius claim: each time the deepest cell that isn't covered yet, the
-    first in row-major order at a tie. Depth is the distance to the nearest cell of the raster that isn't in the mask, or is covered."""
+    first in row-major order at a tie. Depth is the distance to the nearest cell of the raster that isn't in the mask, or is covered; a mask that fills the
+    raster has none, and no places."""
     how = Refinement(tolerance=0.5, smallest=claim, largest=claim, least_cells=0.0, least_points=0)
     kind, none = mask.schema[key].dataType.simpleString(), (np.zeros(0),) * 3
 

@@ -160,3 +160,11 @@ def test_numbers_follow_the_order(spark):
     rows = spark.createDataFrame([(k * 37 % 101, k) for k in range(101)], "a int, b int").repartition(5)
     got = RE.numbered(rows, "n", F.desc("a"), F.col("b")).collect()
     assert {(r.a, r.n) for r in got} == {(a, 101 - a) for a in range(101)}
+
+
+@pytest.mark.parametrize("tile", [4, 64])
+def test_a_mask_of_the_whole_raster_has_no_deepest_cell(spark, tile):
+    grid = Grid(rows=9, cols=9, max_x=90.0, max_z=90.0)
+    whole = grid.cells(spark).withColumn("band", F.lit(1))
+    assert RE.deepest_first(whole, grid, 20.0, "band", tile=tile, halo=2).count() == 0
+    assert RE.deepest_first(whole.where("row > 0"), grid, 20.0, "band", tile=tile, halo=2).count() > 0
