@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from .grid import Grid, sample_mean
-from .spatial import in_polygons, nearest_segment
+from .spatial import at_places, in_polygons, nearest_segment, polygons_at
 from .staging import cut, numbered, running_sum
 
 HEIGHT, RADIUS, TYPE = "pga_tree_height", "pga_tree_radius", "pga_tree_type"
@@ -69,7 +69,7 @@ def relocated(trees: DataFrame, segments: DataFrame, keepout: float = 2.85, marg
         side = F.when((F.col("x") - F.col("seg.x1")) * nx + (F.col("z") - F.col("seg.z1")) * nz >= 0, 1.0).otherwise(-1.0)
         t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("seg.x1")) * dx + (F.col("z") - F.col("seg.z1")) * dz) / (length * length)))
         push = (keepout + margin) * side
-        joined = now.join(near.select("tree", "seg"), "tree", "left")
+        joined = now.join(near.select("tree", "seg").hint("merge"), "tree", "left")
         hit = F.col("seg").isNotNull() & (length > 0)
         now = cut(joined.select(
             "tree",
@@ -183,6 +183,7 @@ def splines(features: DataFrame, offset: float = 1000.0) -> DataFrame:
 
 def water_levels(waters: DataFrame, sites: DataFrame, percentile: float = 0.9) -> DataFrame:
     """(poly, n, level): the percentile of heights (site, x, z, h) that lie in each water polygon; null level without any."""
-    inside = in_polygons(sites, waters, "site").join(sites.select("site", "h"), "site")
-    level = inside.groupBy("poly").agg(F.count("*").alias("n"), F.percentile("h", percentile).alias("level"))
-    return waters.select("poly").join(level, "poly", "left").select("poly", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "level")
+    at = sites.groupBy("x", "z", "h").agg(F.count("*").alias("n"))
+    inside = at_places(at, polygons_at(at.select("x", "z").distinct(), waters, "poly", 64.0)).repartition("poly")
+    level = inside.groupBy("poly").agg(F.sum("n").alias("n"), F.percentile("h", percentile, F.col("n")).alias("level"))
+    return waters.select("poly").join(level.hint("merge"), "poly", "left").select("poly", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "level")
