@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import kernels as K
 from .grid import Grid
+from .spatial import dealt
 
 
 def relaxed_once(raster: DataFrame) -> DataFrame:
@@ -144,7 +145,7 @@ def packed_circles(polygons: DataFrame, radius: float, ratio: float = 1.0, seed:
             rows = [(k, i, *c) for k, ring in zip(frame[key], frame["ring"]) for i, c in enumerate(K.pack_circles(np.array([(p["x"], p["z"]) for p in ring]), radius, ratio, seed + int(k)))]
             yield pd.DataFrame(rows, columns=[key, "idx", "x", "z", "radius"])
 
-    return polygons.select(key, "ring").mapInPandas(run, f"{key} {kind}, idx int, x double, z double, radius double")
+    return dealt(polygons.select(key, "ring"), key).mapInPandas(run, f"{key} {kind}, idx int, x double, z double, radius double")
 
 
 def scattered(raster: DataFrame, grid: Grid, radius: float, key: str = "raster", seed: int = 1, radii: DataFrame | None = None, **more: float) -> DataFrame:
