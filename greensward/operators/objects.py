@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from .grid import Grid, sample_mean
-from .spatial import at_places, in_polygons, nearest_segment, polygons_at
+from .spatial import at_places, in_polygons, kept_lines, nearest_kept, polygons_at
 from .staging import cut, numbered, running_sum
 
 HEIGHT, RADIUS, TYPE = "pga_tree_height", "pga_tree_radius", "pga_tree_type"
@@ -58,26 +60,35 @@ def hinted_trees(trees: DataFrame, woods: DataFrame) -> DataFrame:
 
 def relocated(trees: DataFrame, segments: DataFrame, keepout: float = 2.85, margin: float = 0.05, rounds: int = 8) -> DataFrame:
     """(tree, x, z, moved): trees nearer than keepout to a segment (path, x1, z1, x2, z2) are pushed out along the normal of the
-    nearest one, to the side they lean to; up to so many rounds, all trees of a round at once. Trees that are still too near keep their last place."""
-    now = trees.select("tree", "x", "z", F.lit(0).alias("moved"))
-    seg = segments.select(F.struct("x1", "z1", "x2", "z2").alias("seg"), "x1", "z1", "x2", "z2")
-    for _ in range(rounds):
-        near = nearest_segment(now, seg, "tree", "seg", keepout).where(F.col("distance") < keepout)
-        dx, dz = F.col("seg.x2") - F.col("seg.x1"), F.col("seg.z2") - F.col("seg.z1")
-        length = F.sqrt(dx * dx + dz * dz)
-        nx, nz = -dz / length, dx / length
-        side = F.when((F.col("x") - F.col("seg.x1")) * nx + (F.col("z") - F.col("seg.z1")) * nz >= 0, 1.0).otherwise(-1.0)
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("seg.x1")) * dx + (F.col("z") - F.col("seg.z1")) * dz) / (length * length)))
-        push = (keepout + margin) * side
-        joined = now.join(near.select("tree", "seg").hint("merge"), "tree", "left")
-        hit = F.col("seg").isNotNull() & (length > 0)
-        now = cut(joined.select(
-            "tree",
-            F.when(hit, F.col("seg.x1") + t * dx + nx * push).otherwise(F.col("x")).alias("x"),
-            F.when(hit, F.col("seg.z1") + t * dz + nz * push).otherwise(F.col("z")).alias("z"),
-            (F.col("moved") + F.when(hit, 1).otherwise(0)).alias("moved"),
-        ))
-    return now
+    nearest one, to the side they lean to; up to so many rounds, all trees of a round at once. Trees that are still too near keep their last place.
+
+    Where a tree goes depends on its place alone, so places go through the rounds, and trees only meet them at the end. A place that isn't pushed in a
+    round has settled."""
+    place = ["from_x", "from_z", "x", "z", "moved"]
+    dx, dz = F.col("seg.x2") - F.col("seg.x1"), F.col("seg.z2") - F.col("seg.z1")
+    length = F.sqrt(dx * dx + dz * dz)
+    nx, nz = -dz / length, dx / length
+    side = F.when((F.col("x") - F.col("seg.x1")) * nx + (F.col("z") - F.col("seg.z1")) * nz >= 0, 1.0).otherwise(-1.0)
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("seg.x1")) * dx + (F.col("z") - F.col("seg.z1")) * dz) / (length * length)))
+    push = (keepout + margin) * side
+    hit = F.col("seg").isNotNull() & (F.col("distance") < keepout) & (length > 0)
+    now, settled = trees.select("x", "z").distinct().select(F.col("x").alias("from_x"), F.col("z").alias("from_z"), "x", "z", F.lit(0).alias("moved")), []
+    with kept_lines(segments, keepout) as lines:
+        for _ in range(rounds):
+            after = cut(nearest_kept(now, lines, keepout).select(
+                "from_x", "from_z",
+                F.when(hit, F.col("seg.x1") + t * dx + nx * push).otherwise(F.col("x")).alias("x"),
+                F.when(hit, F.col("seg.z1") + t * dz + nz * push).otherwise(F.col("z")).alias("z"),
+                (F.col("moved") + F.when(hit, 1).otherwise(0)).alias("moved"),
+                F.coalesce(hit, F.lit(False)).alias("hit"),
+            ))
+            settled.append(after.where("NOT hit").select(place))
+            now = after.where("hit").select(place)
+            if now.isEmpty():
+                break
+    gone = reduce(DataFrame.unionByName, settled, now).where("moved > 0").select(F.col("from_x").alias("x"), F.col("from_z").alias("z"), F.struct("x", "z", "moved").alias("to"))
+    to = lambda c: F.coalesce(F.col("to")[c], F.col(c))
+    return trees.select("tree", "x", "z", F.lit(0).alias("moved")).join(gone.hint("merge"), ["x", "z"], "left").select("tree", to("x").alias("x"), to("z").alias("z"), to("moved").alias("moved"))
 
 
 def hole_waypoints(holes: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from greensward.operators import fitting as FI
+from greensward.operators import objects as OB
 from greensward.operators import placement as PL
 from greensward.operators import raster as RA
 from greensward.operators import spatial as SP
@@ -64,6 +65,48 @@ def test_nearest_segments_in_steps_of_reach(spark):
     assert {r.p: (r.s, round(r.distance, 6)) for r in got.collect()} == want
 
 
+def test_relocated_trees_go_by_places_as_a_plain_loop_moves_them(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    ends = rng.uniform(0, 120, (60, 2))
+    lines = [tuple(map(float, (*a, *(a + d)))) for a, d in zip(ends, rng.uniform(-40, 40, (60, 2)))]
+    lines += lines[:9] + [(150.0, 150.0, 150.0, 150.0), (200.0, 0.0, 200.0, 20.0), (203.0, 0.0, 203.0, 20.0)]
+    places = [*map(tuple, rng.uniform(-5, 125, (80, 2)).tolist()), (150.0, 151.0), (201.0, 10.0), (202.85, 10.0), (900.0, 900.0)]
+    trees = [(i, *places[i % len(places)]) for i in range(10 * len(places))] + [(9999, None, 1.0), (9998, 1.0, None)]
+    sizes, cut = [], OB.cut
+
+    def counted(df):
+        out = cut(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(OB, "cut", counted)
+    segments = spark.createDataFrame([(k, *line) for k, line in enumerate(lines)], "path long, x1 double, z1 double, x2 double, z2 double")
+    got = OB.relocated(spark.createDataFrame(trees, "tree long, x double, z double"), segments).collect()
+
+    def goes(x, z):
+        moved = 0
+        for _ in range(8):
+            best = (np.inf,)
+            for x1, z1, x2, z2 in lines:
+                dx, dz = x2 - x1, z2 - z1
+                length = dx * dx + dz * dz
+                t = max(0.0, min(1.0, ((x - x1) * dx + (z - z1) * dz) / length)) if length else 0.0
+                best = min(best, (float(np.hypot(x - x1 - t * dx, z - z1 - t * dz)), (x1, z1, x2, z2), t))
+            if best[0] >= 2.85 or best[1][:2] == best[1][2:]:
+                break
+            (x1, z1, x2, z2), t = best[1:]
+            dx, dz = x2 - x1, z2 - z1
+            length = np.hypot(dx, dz)
+            push = 2.9 if (x - x1) * -dz + (z - z1) * dx >= 0 else -2.9
+            x, z, moved = x1 + t * dx - dz / length * push, z1 + t * dz + dx / length * push, moved + 1
+        return round(x, 6), round(z, 6), moved
+
+    want = {p: goes(*p) for p in places}
+    assert {r.tree: (r.x and round(r.x, 6), r.z and round(r.z, 6), r.moved) for r in got} == {i: want[x, z] if x and z else (x, z, 0) for i, x, z in trees}
+    assert len(got) == len(trees) and {0, 1, 8} <= {m for *_, m in want.values()}
+    assert max(sizes) <= len(places) + 2 and sizes[-1] < sizes[0] and not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 def test_balls_by_cells_hold_the_points_of_balls(spark):
     rng = np.random.default_rng(4)
     rows = [(float(x), float(z), float(v)) for x, z, v in rng.uniform(0, 60, (3000, 3))]
