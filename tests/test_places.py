@@ -107,6 +107,24 @@ def test_relocated_trees_go_by_places_as_a_plain_loop_moves_them(spark, monkeypa
     assert max(sizes) <= len(places) + 2 and sizes[-1] < sizes[0] and not spark.sparkContext._jsc.getPersistentRDDs()
 
 
+def test_trees_at_one_place_are_moved_clear_once(spark, monkeypatch):
+    sizes, cut = [], FI.cut
+
+    def counted(df):
+        out = cut(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(FI, "cut", counted)
+    segments = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 50.0), (2, 4.0, 0.0, 4.0, 50.0)], "path long, x1 double, z1 double, x2 double, z2 double")
+    places = [(1.0, 25.0), (5.0, 20.0), (90.0, 20.0)]
+    trees = [(i, *places[i % 3]) for i in range(90)] + [(90, None, 1.0)]
+    got = {r.tree: tuple(r)[1:] for r in FI.moved_clear(spark.createDataFrame(trees, "tree long, x double, z double"), segments, spark.createDataFrame([(9.0, 9.0)], "x double, z double")).collect()}
+    want = [(-2.9, 25.0, 1, 2.85), (6.9, 20.0, 1, 2.85), (90.0, 20.0, 0, 2.85)]
+    assert got == {i: want[i % 3] for i in range(90)} | {90: (None, 1.0, 0, 2.85)}
+    assert max(sizes) <= 2 * len(places) and not spark.sparkContext._jsc.getPersistentRDDs()
+
+
 def test_balls_by_cells_hold_the_points_of_balls(spark):
     rng = np.random.default_rng(4)
     rows = [(float(x), float(z), float(v)) for x, z, v in rng.uniform(0, 60, (3000, 3))]
