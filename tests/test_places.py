@@ -150,3 +150,46 @@ def test_what_a_full_flatten_stamp_lies_over_waits_for_nothing(spark, monkeypatc
     monkeypatch.setattr(FI, "cut", lambda df: calls.append(1) or cut(df))
     got = {r.seq: round(r.value, 6) for r in FI.fitted_in_order(stamps, raster, grid, A.brush_profiles(spark)).collect()}
     assert got == {k: 7.0 if k % 2 else 0.0 for k in range(1, 25)} and len(calls) < 15
+
+
+def test_a_long_chain_of_raise_stamps_takes_few_rounds(spark, monkeypatch):
+    grid = Grid(rows=20, cols=20, max_x=200.0, max_z=200.0)
+    raster = grid.cells(spark).withColumn("h", 50.0 + F.col("row") + 0.5 * F.col("col")).cache()
+    where = lambda k: (60.0 + 1.3 * (k % 50), 60.0 + 7.0 * (k % 9))
+    rows = [(k, *where(k), 20.0 + k % 3 * 10, 20.0 + k % 3 * 10, 4.0, (8, 9, 54)[k % 3], 0.0, int(k % 17 > 0)) for k in range(1, 121)]
+    rows += [(121, 9000.0, 9000.0, 20.0, 20.0, 4.0, 8, 0.0, 1), (122, None, 60.0, 20.0, 20.0, 4.0, 8, 0.0, 1), (123, 100.0, 80.0, 60.0, 60.0, 4.0, 8, 0.0, 1)]
+    kind = "seq long, x double, z double, scale_x double, scale_z double, value double, brush int, rotation double, tool int"
+    calls, cut = [], FI.cut
+    monkeypatch.setattr(FI, "cut", lambda df: calls.append(1) or cut(df))
+    fit = lambda **how: {r.seq: (r.target, r.value) for r in FI.fitted_in_order(spark.createDataFrame(rows, kind), raster, grid, A.brush_profiles(spark), **how).collect()}
+    got = fit()
+    assert len(calls) < 10 and set(got) == {r[0] for r in rows}
+    cells = [(r.row, r.col, r.h) for r in raster.collect()]
+    weight, done = {8: lambda r: 1 - r, 9: lambda r: min(1.0, (1 - r) / 0.75), 54: lambda r: min(1.0, (1 - r) / 0.9)}, []
+    for seq, x, z, scale, _, old, brush, _, tool in rows:
+        near = [] if x is None else [h for r, c, h in cells if np.hypot((c + 0.5) * 10 - x, (r + 0.5) * 10 - z) <= scale]
+        value, cur = old, 0.0
+        if len(near) >= 3:
+            for px, pz, reach, v, kernel, raises in done:
+                if (r := np.hypot(x - px, z - pz) / reach) <= 1:
+                    at = r * 255
+                    i = min(254, int(at))
+                    w = kernel(i / 255) + (kernel((i + 1) / 255) - kernel(i / 255)) * (at - i)
+                    cur = cur + v * w if raises else cur + (v - cur) * w
+            value = np.mean(near) - cur if tool else np.mean(near)
+        assert got[seq][1] == pytest.approx(value, abs=1e-7)
+        if x is not None:
+            done.append((x, z, scale, value, weight[brush], tool))
+    assert got[121] == got[122] == (None, 4.0)
+    calls.clear()
+    assert fit(links=800) == got and len(calls) > 10
+
+
+def test_what_lies_over_a_stamp_without_a_value_has_none(spark):
+    grid = Grid(rows=5, cols=5, max_x=50.0, max_z=50.0)
+    kind = "seq long, x double, z double, scale_x double, scale_z double, value double, brush int, rotation double, tool int"
+    before = spark.createDataFrame([(-2, 25.0, 25.0, 20.0, 20.0, None, 8, 0.0, 1), (-1, 5.0, 5.0, 9.0, 9.0, 3.0, 8, 0.0, 1)], kind)
+    stamps = spark.createDataFrame([(1, 25.0, 25.0, 20.0, 20.0, 1.0, 8, 0.0, 1), (2, 5.0, 5.0, 9.0, 9.0, 1.0, 8, 0.0, 1), (3, 25.0, 25.0, 20.0, 20.0, 1.0, 72, 0.0, 0), (4, 25.0, 25.0, 20.0, 20.0, 1.0, 8, 0.0, 1)], kind)
+    raster = grid.cells(spark).withColumn("h", F.lit(7.0))
+    got = {r.seq: r.value for r in FI.fitted_in_order(stamps, raster, grid, A.brush_profiles(spark), before, least=1).collect()}
+    assert got == {1: None, 2: 4.0, 3: 7.0, 4: 0.0}
