@@ -55,3 +55,11 @@ def test_clipped_areas_equal_areas_of_strips(spark):
     want = {p: a for p, ring in rings.items() if (a := area(ring)) > 0}
     assert {r.poly for r in got} == set(want) and len(got) > len(full)
     assert all(r.area == pytest.approx(want[r.poly], rel=1e-4, abs=1e-2) for r in got)
+
+
+def test_heights_are_fitted_to_the_ground_that_earlier_stamps_made(spark):
+    got, in_order, stamps = QUERIES["height_fit"](spark, SF).collect(), QUERIES["height_fit_in_order"](spark, SF).collect(), A.stamps(spark, SF).collect()
+    target, tool, value = {r.seq: r.target for r in in_order}, {r.seq: r.tool for r in stamps}, {r.seq: r.value for r in got}
+    assert value == pytest.approx({r.seq: r.value for r in in_order}, abs=1e-5)
+    fitted = [k for k in value if target[k] is not None]
+    assert all(value[k] == target[k] for k in fitted if not tool[k]) and any(value[k] < target[k] - 100 for k in fitted if tool[k])
